@@ -62,7 +62,7 @@ def operand(role, idx=None, z=None):
 def event_rows(spark, d):
     from ..operators.ranking import stable_index
 
-    ev = frames.table(spark, d, "events")
+    ev = frames.table(spark, d, "events", wide=True)
     types = frames.kept("types", spark, d, lambda: stable_index(ev, "event_type"))
     k = types.select(F.count("*").cast("int")).scalar()
     j = ev.join(types, "event_type").withColumn("_k", k)
@@ -145,10 +145,10 @@ def user_coefs(spark, d):
 
 
 @proof("event_coefficients", "C14 C17 C19 C12 C13", PREPARED + """
-SELECT unit_id, user_id, target, dim, round(c0, 5) AS c0, round(c1, 5) AS c1 FROM coefs""")
+SELECT unit_id, user_id, target, dim, round(c0, 9) AS c0, round(c1, 9) AS c1 FROM coefs""")
 def event_coefficients(spark, d):
     return user_coefs(spark, d).select(
-        "unit_id", "user_id", "target", "dim", F.round("c0", 5).alias("c0"), F.round("c1", 5).alias("c1")
+        "unit_id", "user_id", "target", "dim", F.round("c0", 9).alias("c0"), F.round("c1", 9).alias("c1")
     )
 
 

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from ..operators import matching
 from ..operators.ranking import stable_index
-from ..session import materialize
+from ..session import materialize, spread
 
 WORDS_PER_UNIT = 24
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None, wide: bool = False) -> DataFrame:
+    """A given table; ``wide`` spreads a small file over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if cols:
+        df = df.select(*cols)
+    return spread(df) if wide else df
 
 
 _KEPT: dict[tuple, DataFrame] = {}
@@ -39,7 +43,7 @@ def kept(key: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     """(doc_id, ..., i, w): lower-case ASCII words of every document, i from 1."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", *cols], wide=True)
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     rows = docs.select("doc_id", *cols, F.posexplode(found).alias("i0", "w"))
     return rows.select("doc_id", *cols, (F.col("i0") + 1).alias("i"), "w")

@@ -96,6 +96,12 @@ def minimiser(c0: Column, c1: Column) -> Column:
 
 
 # -- role summaries -----------------------------------------------------------
+#
+# The expressions below are generated as SQL text from the coefficient tables.
+
+
+def _poly_sql(terms: list[tuple[float, list[str]]], names: dict[str, str]) -> str:
+    return " + ".join("*".join([f"({c}D)", *[names[v] for v in vs]]) for c, vs in terms)
 
 
 def fill(operands: Column, vec: Column) -> Column:
@@ -112,74 +118,117 @@ def fill(operands: Column, vec: Column) -> Column:
     return F.transform(operands, one)
 
 
-def role_stats(filled: Column, target: Column) -> Column:
-    """Per role: operand count ``n``, target count ``t`` and sums without the target."""
-
-    def stat(role: str) -> Column:
-        mine = F.filter(filled, lambda o: o["role"] == role)
-        hit = F.size(F.filter(mine, lambda o: o["idx"].eqNullSafe(target)))
-        rest = F.filter(mine, lambda o: ~o["idx"].eqNullSafe(target))
-        sums = [F.aggregate(rest, F.lit(0.0), lambda s, o, d=d: s + o[d]).alias(d) for d in DIMS]
-        return F.struct(F.size(mine).alias("n"), hit.alias("t"), *sums).alias(role)
-
-    # The head of a role is an identity if it has a place in the vector.
-    heads = [
-        F.exists(filled, lambda o, r=r: (o["role"] == r) & o["idx"].isNotNull()).alias(f"{r}_is_id") for r in ("a", "o")
-    ]
-    return F.struct(*[stat(r) for r in ROLES], *heads)
-
-
-def occurrences(stats: Column) -> Column:
-    total = F.lit(0)
+def _totals_sql(filled: str) -> str:
+    """Per role operand count and sums, and whether the head of a side is an
+    identity.  Does not depend on the target, so it is found once per constraint."""
+    parts = []
     for r in ROLES:
-        total = total + stats[r]["t"]
-    return total
-
-
-def _role_mean(stats: Column, role: str, x: list[Column]) -> list[Column]:
-    s = stats[role]
-    return [(s[d] + s["t"] * v) / s["n"] for d, v in zip(DIMS, x)]
+        mine = f"filter(f, o -> o.role = '{r}')"
+        sums = ", ".join(f"'{d}', aggregate({mine}, 0D, (s, o) -> s + o.{d})" for d in DIMS)
+        parts.append(f"'{r}', named_struct('n', size({mine}), {sums})")
+    heads = [f"'{r}_is_id', exists(f, o -> o.role = '{r}' AND o.idx IS NOT NULL)" for r in ("a", "o")]
+    return f"transform(array({filled}), f -> named_struct({', '.join([*parts, *heads])}))[0]"
+
+
+def _hits_sql(filled: str, target: str) -> str:
+    """Occurrences of the target per role."""
+    return "array(" + ", ".join(f"size(filter({filled}, o -> o.role = '{r}' AND o.idx <=> {target}))" for r in ROLES) + ")"
+
+
+def _many_sql(hits: str) -> str:
+    return "(" + " + ".join(f"{hits}[{i}]" for i in range(len(ROLES))) + " > 1)"
+
+
+def _means_sql(p: str, x: list[str]) -> dict[str, str]:
+    """Mean of each role with the target's values set to x; null if the role is empty."""
+    return {
+        r + d: f"({p}tot.{r}.{d} + {p}hits[{i}] * ({v} - {p}own.{d})) / nullif({p}tot.{r}.n, 0)"
+        for i, r in enumerate(ROLES)
+        for d, v in zip(DIMS, x)
+    }
+
+
+def _entities_sql(p: str, negated: str, m: dict[str, str]) -> dict[str, str]:
+    """Actor, verb and object values: a head alone, the modifier equation for
+    identities, a plain average for words."""
+    out = {}
+    for head, mods in (("a", "am"), ("o", "om")):
+        names = dict(zip(MODIFIER_VARS, [m[mods + d] for d in DIMS] + [m[head + d] for d in DIMS]))
+        nh, nm = f"{p}tot.{head}.n", f"{p}tot.{mods}.n"
+        for d, terms in zip(DIMS, MODIFIER_TERMS):
+            plain = f"({m[head + d]} * {nh} + {m[mods + d]} * {nm}) / nullif({nh} + {nm}, 0)"
+            out[head + d] = (
+                f"CASE WHEN {nm} = 0 THEN {m[head + d]} WHEN {p}tot.{head}_is_id THEN {_poly_sql(terms, names)} "
+                f"ELSE {plain} END"
+            )
+    for d in DIMS:
+        out["b" + d] = f"CASE WHEN {negated} THEN -{m['b' + d]} ELSE {m['b' + d]} END"
+    return out
+
+
+def _residuals_sql(row: str, f: dict[str, str]) -> list[str]:
+    """The nine residuals of a constraint from its actor, verb and object values;
+    equality and point constraints have three, the others are zero."""
+    out = []
+    for i, (v, terms) in enumerate(zip(EVENT_VARS, EVENT_TERMS)):
+        event = f"{f[v]} - ({_poly_sql(terms, f)})"
+        same = point = "0D"
+        if i < len(DIMS):
+            d = DIMS[i]
+            same = f"CASE WHEN {row}negated THEN {f['a' + d]} + {f['o' + d]} ELSE {f['a' + d]} - {f['o' + d]} END"
+            point = f"coalesce({f['a' + d]} - {row}p{d}, 0D)"
+        out.append(f"CASE {row}family WHEN 'event' THEN {event} WHEN 'equality' THEN {same} ELSE {point} END")
+    return out
+
+
+N_RES = len(EVENT_VARS)
+
+
+def _add_residuals(rows: DataFrame, out: str, x: list[str]) -> DataFrame:
+    """Add residual columns ``out0..out8`` with the target's values set to ``x``.
+
+    Means, entities and residuals are separate projections, so that each value
+    is computed once and the generated code stays small.
+    """
+    keep = rows.columns
+    means = _means_sql("_", x)
+    rows = rows.selectExpr(*keep, *[f"{v} AS _m{k}" for k, v in means.items()])
+    entities = _entities_sql("_", "negated", {k: f"_m{k}" for k in means})
+    rows = rows.selectExpr(*keep, *[f"{v} AS _f{k}" for k, v in entities.items()])
+    values = _residuals_sql("", {k: f"_f{k}" for k in entities})
+    return rows.selectExpr(*keep, *[f"{v} AS {out}{i}" for i, v in enumerate(values)])
 
 
-def _entity(stats: Column, head: str, mods: str, x: list[Column]) -> list[Column]:
-    """Value of actor or object: itself, modifier equation, or plain average."""
-    h, m = stats[head], stats[mods]
-    plain = _role_mean(stats, head, x)
-    eq = modified(_role_mean(stats, mods, x), plain)
-    both = [(h[d] + m[d] + (h["t"] + m["t"]) * v) / (h["n"] + m["n"]) for d, v in zip(DIMS, x)]
-    return [
-        F.when(m["n"] == 0, p).when(stats[f"{head}_is_id"], q).otherwise(b) for p, q, b in zip(plain, eq, both)
-    ]
+def _inline_square_sql(p: str, row: str, x: list[str]) -> str:
+    """Sum of squared residuals as one expression, for use inside array functions."""
+    means = _means_sql(p, x)
+    entities = _entities_sql(p, f"{row}negated", {k: f"m[{i}]" for i, k in enumerate(means)})
+    res = _residuals_sql(row, {k: f"v[{i}]" for i, k in enumerate(entities)})
+    body = f"aggregate(array({', '.join(res)}), 0D, (s, r) -> s + r * r)"
+    inner = f"transform(array(array({', '.join(entities.values())})), v -> {body})[0]"
+    return f"transform(array(array({', '.join(means.values())})), m -> {inner})[0]"
 
 
-def residuals(row: dict[str, Column], stats: Column, x: list[Column]) -> Column:
-    """Residual array with the target's values set to ``x``."""
-    neg = row["negated"]
-    actor = _entity(stats, "a", "am", x)
-    thing = _entity(stats, "o", "om", x)
-    verbs = [negate(v, neg) for v in _role_mean(stats, "b", x)]
-    event = F.array(*event_residuals([*actor, *verbs, *thing]))
-    sign = F.when(neg, 1.0).otherwise(-1.0)
-    equality = F.array(*[a + sign * o for a, o in zip(actor, thing)])
-    point = F.array(*[F.coalesce(a - row[f"p{d}"], F.lit(0.0)) for a, d in zip(_role_mean(stats, "a", x), DIMS)])
-    return F.when(row["family"] == "event", event).when(row["family"] == "equality", equality).otherwise(point)
+def _dot_sql(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{i} * {b}{i}" for i in range(N_RES)) + ")"
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+def _differences(rows: DataFrame, keep: list[str], tags: list[tuple[str, str, str]]) -> DataFrame:
+    """Columns ``out_i = a_i - b_i`` for each (out, a, b)."""
+    return rows.selectExpr(*keep, *[f"{a}{i} - {b}{i} AS {out}{i}" for out, a, b in tags for i in range(N_RES)])
 
 
-def _row(df_prefix: str = "") -> dict[str, Column]:
-    return {c: F.col(df_prefix + c) for c in ("family", "negated", "pe", "pp", "pa")}
+def _res(tag: str) -> list[str]:
+    return [f"{tag}{i}" for i in range(N_RES)]
 
 
 def _with_stats(constraints: DataFrame, vec: str) -> DataFrame:
     """One row per constraint and target identity with role summaries."""
-    filled = constraints.withColumn("_filled", fill(F.col("operands"), F.col(vec)))
-    rows = filled.withColumn("target", F.explode("targets"))
-    rows = rows.withColumn("_stats", role_stats(F.col("_filled"), F.col("target")))
-    own = F.get(F.col(vec), F.col("target"))
-    return rows.withColumn("_own", own).drop("_filled")
+    keep = [c for c in constraints.columns if c not in ("operands", "targets", vec)]
+    rows = constraints.withColumn("_filled", fill(F.col("operands"), F.col(vec)))
+    rows = rows.selectExpr(*keep, "_filled", vec, "targets", f"{_totals_sql('_filled')} AS _tot")
+    rows = rows.select(*keep, "_filled", vec, "_tot", F.explode("targets").alias("target"))
+    return rows.selectExpr(*keep, "target", "_tot", f"{_hits_sql('_filled', 'target')} AS _hits", f"get({vec}, target) AS _own")
 
 
 def constraint_coefs(constraints: DataFrame, vec: str = "vec") -> DataFrame:
@@ -189,23 +238,22 @@ def constraint_coefs(constraints: DataFrame, vec: str = "vec") -> DataFrame:
     the row's user, in identity order.
     """
     rows = _with_stats(constraints, vec)
+    keep = [c for c in rows.columns if c not in ("_tot", "_hits", "_own")] + ["dim"]
     rows = rows.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in DIMS])))
 
-    def probe(x: float) -> Column:
-        values = [F.when(F.col("dim") == d, F.lit(x)).otherwise(F.col("_own")[d]) for d in DIMS]
-        return residuals(_row(), F.col("_stats"), values)
-
-    rows = rows.withColumn("_r0", probe(0.0)).withColumn("_r1", probe(1.0))
-    more = occurrences(F.col("_stats")) > 1
-    rows = rows.withColumn("_r2", F.when(more, probe(2.0)))
-    step = F.zip_with("_r1", "_r0", lambda a, b: a - b)
-    rows = rows.withColumn("_d", step)
-    c0, c1 = _dot(F.col("_d"), F.col("_d")), 2 * _dot(F.col("_r0"), F.col("_d"))
-    rows = rows.withColumn("c0", c0).withColumn("c1", c1)
+    def probe(x: float) -> list[str]:
+        return [f"IF(dim = '{d}', {x}D, _own.{d})" for d in DIMS]
+
+    rows = _add_residuals(_add_residuals(rows, "_r", probe(0.0)), "_s", probe(1.0))
+    third = _inline_square_sql("_", "", probe(2.0))
+    rows = rows.selectExpr(*keep, *_res("_r"), *_res("_s"), f"CASE WHEN {_many_sql('_hits')} THEN {third} END AS _q2")
+    rows = _differences(rows, [*keep, *_res("_r"), "_q2"], [("_d", "_s", "_r")])
+    rows = rows.selectExpr(
+        *keep, "_q2", f"{_dot_sql('_r', '_r')} AS _q0", f"{_dot_sql('_d', '_d')} AS c0", f"2 * {_dot_sql('_r', '_d')} AS c1"
+    )
     # A target that occurs twice may not be quadratic: check a third point.
-    gap = _dot(F.col("_r2"), F.col("_r2")) - (4 * F.col("c0") + 2 * F.col("c1") + _dot(F.col("_r0"), F.col("_r0")))
-    ok = F.when(F.col("_r2").isNull(), True).otherwise(F.abs(gap) < 1e-9 * (1 + _dot(F.col("_r2"), F.col("_r2"))))
-    return rows.withColumn("quadratic", ok).drop("_r0", "_r1", "_r2", "_d", "_stats", "_own", "operands", "targets")
+    ok = "CASE WHEN _q2 IS NULL THEN true ELSE abs(_q2 - (4*c0 + 2*c1 + _q0)) < 1e-9 * (1 + _q2) END"
+    return rows.selectExpr(*keep, "c0", "c1", f"{ok} AS quadratic")
 
 
 def quadratic_coefs(constraints: DataFrame, vec: str = "vec", keys: list[str] | None = None) -> DataFrame:
@@ -223,10 +271,12 @@ def quadratic_coefs(constraints: DataFrame, vec: str = "vec", keys: list[str] |
 
 def constraint_deflections(constraints: DataFrame, vec: str = "vec") -> DataFrame:
     """Constraints with their ``deflection`` under the row's values."""
-    filled = constraints.withColumn("_stats", role_stats(fill(F.col("operands"), F.col(vec)), F.lit(-1)))
-    nothing = [F.lit(0.0)] * 3
-    filled = filled.withColumn("_r", residuals(_row(), F.col("_stats"), nothing))
-    return filled.withColumn("deflection", _dot(F.col("_r"), F.col("_r"))).drop("_stats", "_r")
+    filled = constraints.withColumn("_filled", fill(F.col("operands"), F.col(vec)))
+    keep = [c for c in constraints.columns if c != vec]
+    none = "named_struct('e', 0D, 'p', 0D, 'a', 0D) AS _own"
+    filled = filled.selectExpr(*keep, f"{_totals_sql('_filled')} AS _tot", f"{_hits_sql('_filled', '-1')} AS _hits", none)
+    rows = _add_residuals(filled, "_r", ["0D", "0D", "0D"])
+    return rows.selectExpr(*keep, f"{_dot_sql('_r', '_r')} AS deflection")
 
 
 def unit_deflection(constraints: DataFrame, vec: str = "vec", keys: list[str] | None = None) -> DataFrame:
@@ -238,46 +288,35 @@ def unit_deflection(constraints: DataFrame, vec: str = "vec", keys: list[str] |
 # -- deflection as a function of the target's three values ---------------------
 
 _PAIRS = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+FORM = [f"q{i}{j}" for i, j in _PAIRS] + ["l0", "l1", "l2", "k"]
 
 
 def target_forms(constraints: DataFrame, vec: str = "vec", keys: list[str] | None = None) -> DataFrame:
     """Per unit and target: the deflection of the unit's constraints that hold it,
-    as ten numbers of a quadratic form, plus the rare constraints that hold the
-    target twice (kept whole in ``extra``), plus ``rest`` of the other constraints.
+    as ten numbers of a quadratic form in the target's values, plus the rare
+    constraints that hold the target twice, kept whole in ``extra``.
 
-    The form is additive, so sums combine before the shuffle.
+    The form is additive, so sums combine before the shuffle.  Constraints
+    without the target add the same to every candidate and cancel.
     """
     keys = keys or ["unit_id", "user_id"]
     rows = _with_stats(constraints, vec)
-    zero, one = F.lit(0.0), F.lit(1.0)
-
-    def at(point: list[Column]) -> Column:
-        return residuals(_row(), F.col("_stats"), point)
-
-    rows = rows.withColumn("_r", at([zero, zero, zero]))
-    for i in range(3):
-        unit = [one if j == i else zero for j in range(3)]
-        rows = rows.withColumn(f"_g{i}", F.zip_with(at(unit), F.col("_r"), lambda a, b: a - b))
-    many = occurrences(F.col("_stats")) > 1
-    quad = [_dot(F.col(f"_g{i}"), F.col(f"_g{j}")) * (1.0 if i == j else 2.0) for i, j in _PAIRS]
-    lin = [2 * _dot(F.col("_r"), F.col(f"_g{i}")) for i in range(3)]
-    const = _dot(F.col("_r"), F.col("_r"))
-    names = [f"q{i}{j}" for i, j in _PAIRS] + ["l0", "l1", "l2", "k"]
-    sums = [F.sum(F.when(~many, x).otherwise(0.0)).alias(n) for n, x in zip(names, [*quad, *lin, const])]
-    extra = F.collect_list(F.when(many, F.struct("family", "negated", "pe", "pp", "pa", "_stats"))).alias("extra")
-    return rows.groupBy(*keys, "target").agg(*sums, extra, F.first("_own").alias("own"))
-
-
-def form_deflection(form: Column, x: list[Column]) -> Column:
-    """Deflection of a target form at the values ``x``."""
-    total = form["k"]
-    for i, j in _PAIRS:
-        total = total + form[f"q{i}{j}"] * x[i] * x[j]
+    rows = _add_residuals(rows, "_r", ["0D", "0D", "0D"])
     for i in range(3):
-        total = total + form[f"l{i}"] * x[i]
-
-    def one(acc: Column, c: Column) -> Column:
-        r = residuals({k: c[k] for k in ("family", "negated", "pe", "pp", "pa")}, c["_stats"], x)
-        return acc + _dot(r, r)
-
-    return total + F.aggregate(form["extra"], F.lit(0.0), one)
+        rows = _add_residuals(rows, f"_h{i}_", ["1D" if j == i else "0D" for j in range(3)])
+    keep = [*keys, "target", "family", "negated", "pe", "pp", "pa", "_tot", "_hits", "_own"]
+    rows = _differences(rows, [*keep, *_res("_r")], [(f"_g{i}_", f"_h{i}_", "_r") for i in range(3)])
+    many = _many_sql("_hits")
+    quad = [_dot_sql(f"_g{i}_", f"_g{j}_") + ("" if i == j else " * 2") for i, j in _PAIRS]
+    parts = [*quad, *[f"2 * {_dot_sql('_r', f'_g{i}_')}" for i in range(3)], _dot_sql("_r", "_r")]
+    rows = rows.selectExpr(*keep, f"{many} AS _many", *[f"IF({many}, 0D, {x}) AS {n}" for n, x in zip(FORM, parts)])
+    whole = F.struct(*["family", "negated", "pe", "pp", "pa"], *[F.col(f"_{c}").alias(c) for c in ("tot", "hits", "own")])
+    extra = F.collect_list(F.when(F.col("_many"), whole)).alias("extra")
+    return rows.groupBy(*keys, "target").agg(*[F.sum(n).alias(n) for n in FORM], extra)
+
+
+def form_deflection_sql(x: list[str]) -> str:
+    """Deflection of a target form (columns ``FORM`` and ``extra``) at the values ``x``."""
+    total = ["k"] + [f"q{i}{j} * {x[i]} * {x[j]}" for i, j in _PAIRS] + [f"l{i} * {x[i]}" for i in range(3)]
+    extra = f"aggregate(extra, 0D, (acc, c) -> acc + {_inline_square_sql('c.', 'c.', x)})"
+    return f"({' + '.join(total)}) + IF(size(extra) = 0, 0D, {extra})"

@@ -189,11 +189,9 @@ def merge_phrases(tokens: DataFrame, phrases: DataFrame, max_len: int = 4) -> Da
     )
     grouped = tokens.join(member, [UNIT, "id"], "left").withColumn("_g", F.coalesce("_start", "id")).drop("_start")
     # (unit, old id) -> group, for heads.
-    heads = grouped.select(UNIT, F.col("id").alias("_old"), F.col("_g").alias("_hg"))
-    linked = grouped.join(heads, (grouped[UNIT] == heads[UNIT]) & (grouped["head"] == heads["_old"]), "left").select(
-        *[grouped[c] for c in grouped.columns],
-        F.when(grouped["head"] > 0, F.coalesce(heads["_hg"], F.lit(-1))).otherwise(grouped["head"]).alias("_hg"),
-    )
+    heads = grouped.select(UNIT, F.col("id").alias("head"), F.col("_g").alias("_to"))
+    head = F.when(F.col("head") > 0, F.coalesce("_to", F.lit(-1))).otherwise(F.col("head"))
+    linked = grouped.join(heads, [UNIT, "head"], "left").withColumn("_hg", head)
     rest = [c for c in tokens.columns if c not in (UNIT, "id", "head", "form", "lemma", "pos")]
     parts = F.sort_array(F.collect_list(F.struct("id", "form", "lemma", "pos", "_hg")))
     merged = linked.groupBy(UNIT, "_g").agg(parts.alias("_p"), *[F.min_by(c, "id").alias(c) for c in rest])
