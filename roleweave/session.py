@@ -14,20 +14,31 @@ def get_spark(app: str = "roleweave", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.ui.showConsoleProgress": "false",
-    }
-    settings.update(conf)
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false", **RUNTIME, **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+# Run-time settings the operators rely on.  Methods that HotSpot would not
+# compile (over 8000 bytes), and rows of many fields, use split projections.
+RUNTIME = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.codegen.maxFields": "40",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the run-time settings to a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
