@@ -226,6 +226,6 @@ def point_fit_first_pass(spark, d):
 @proof("point_fit_two_passes", "M13 C19", None)
 def point_fit_two_passes(spark, d):
     c = event_constraints(spark, d)
-    base = vector(F.lit(0), F.col("k"))
-    fit = pointfit.point_fit(c.withColumn("base", base), "base")
+    one = c.select(F.max("k").alias("k")).select(vector(F.lit(0), F.col("k"))).scalar()
+    fit = pointfit.point_fit(c, one)
     return fit.select("user_id", "target", "dim", F.round("value", 4).alias("value"))

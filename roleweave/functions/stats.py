@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let, total
+
 # Fixed value: exponents are clamped from below here.
 EXP_FLOOR = -300.0
 
@@ -21,17 +23,15 @@ def compound(total: Column, alpha: float = 15.0) -> Column:
 
 def softmax(vec: Column) -> Column:
     """Softmax of an array, shifted by its largest entry."""
-    shifted = F.transform(vec, lambda x: F.exp(x - F.array_max(vec)))
-    return F.transform(shifted, lambda x: x / array_sum(shifted))
-
-
-def array_sum(vec: Column) -> Column:
-    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x)
+    shifted = let(F.array_max(vec), lambda top: F.transform(vec, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_sum_exp(vec: Column) -> Column:
-    top = F.array_max(vec)
-    return top + F.log(array_sum(F.transform(vec, lambda x: F.exp(F.greatest(x - top, F.lit(EXP_FLOOR))))))
+    def shifted_sum(top: Column) -> Column:
+        return F.aggregate(vec, F.lit(0.0), lambda s, x: s + F.exp(F.greatest(x - top, F.lit(EXP_FLOOR))))
+
+    return let(F.array_max(vec), lambda top: top + F.log(shifted_sum(top)))
 
 
 def _shifted(a: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .matching import UNIT, is_adjective, is_noun
 
 
@@ -40,13 +41,15 @@ def root_array(nodes: Column) -> Column:
 
 def resolved_array(nodes: Column) -> Column:
     """Per node itself, or for determiners the node reached by first children."""
-    heads = F.transform(nodes, lambda n: n["head"])
 
-    def step(n: Column) -> Column:
-        first = F.array_position(heads, n["id"]).cast("int")
-        return F.when((n["pos"] == "D") & (first > 0), first).otherwise(n["id"])
+    def steps(heads: Column) -> Column:
+        def step(n: Column) -> Column:
+            first = F.array_position(heads, n["id"]).cast("int")
+            return F.when((n["pos"] == "D") & (first > 0), first).otherwise(n["id"])
 
-    return _double(F.transform(nodes, step))
+        return F.transform(nodes, step)
+
+    return _double(let(F.transform(nodes, lambda n: n["head"]), steps))
 
 
 def ancestors(nodes: Column, n: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dense
+
 
 def units_by_user(units: DataFrame, uid: str = "unit_id") -> DataFrame:
     """Split ``user \\t unit`` ids into ``user_id`` and ``unit_id``."""
@@ -18,12 +20,6 @@ def count_matrix(mentions: DataFrame, vocab: DataFrame, user: str = "user_id") -
     return n.join(vocab, "identity").select(user, "idx", "split", "n")
 
 
-def _dense(entries: Column, size: Column) -> Column:
-    """Dense array from (idx, n) entries."""
-    lookup = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0)).cast("double"))
-
-
 def count_vectors(counts: DataFrame, size: Column, user: str = "user_id") -> DataFrame:
     """One row per user with dense ``train`` and ``test`` arrays.
 
@@ -31,11 +27,12 @@ def count_vectors(counts: DataFrame, size: Column, user: str = "user_id") -> Dat
     most two entries per vocabulary word.
     """
     def entries(split: str) -> Column:
-        e = F.struct(F.col("idx").cast("int").alias("idx"), F.col("n").alias("n"))
+        e = F.struct(F.col("idx").cast("int").alias("idx"), F.col("n").cast("double").alias("n"))
         return F.collect_list(F.when(F.col("split") == split, e)).alias(f"_{split}")
 
     per = counts.groupBy(user).agg(entries("train"), entries("test")).withColumn("_k", size)
-    return per.select(user, *[_dense(F.col(f"_{s}"), F.col("_k")).alias(s) for s in ("train", "test")])
+    zero = F.lit(0.0)
+    return per.select(user, *[dense(F.col(f"_{s}"), F.col("_k"), zero).alias(s) for s in ("train", "test")])
 
 
 def user_constraints(coefs: DataFrame, split: DataFrame, unit: str = "unit_id") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import coefficients as co
 from ..operators import constraints as cs
+from ..operators.aggregates import shrunk_mean
+from ..session import materialize
 from . import pointfit, predict
 
 
@@ -88,25 +90,17 @@ def toy_model(constraints: DataFrame, split: DataFrame, base: Column, size: Colu
 
     Values of a user: own two-pass fit, else the shrunk mean over users.
     """
-    tagged = constraints.join(split.select("unit_id", "split"), "unit_id").withColumn("base", base)
+    # Both are read several times below, so they are written once.
+    tagged = materialize(constraints.join(split.select("unit_id", "split"), "unit_id"), "constraints", ["split"])
     train, test = tagged.where("split = 'train'"), tagged.where("split = 'test'")
-    fit = pointfit.point_fit(train, "base")
-    shrunk = fit.groupBy("target", "dim").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    key = F.concat(F.col("target").cast("string"), F.col("dim"))
-    lookup = shrunk.agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("s", "c"))))).scalar()
-
-    def pooled(b: Column, i: Column) -> Column:
-        def one(d: str) -> Column:
-            got = F.try_element_at("_pool", F.concat(i.cast("string"), F.lit(d)))
-            return F.coalesce((got["s"] + b[d]) / (got["c"] + 1), b[d]).alias(d)
-
-        return F.struct(*[one(d) for d in "epa"])
-
-    test = test.withColumn("_pool", lookup).withColumn("pop", F.transform("base", pooled)).drop("_pool")
-    test = test.join(pointfit.user_vectors(fit), "user_id", "left").withColumn("vec", pointfit.override(F.col("pop"), F.col("own")))
-    forms = co.target_forms(test, "vec")
-    vectors = test.groupBy("user_id").agg(F.any_value("vec").alias("vec"))
-    mentions = forms.select("unit_id", "user_id", "target").join(vectors, "user_id")
+    fit = materialize(pointfit.point_fit(train, base), "fit")
+    base_rows = tagged.sparkSession.range(1).select(F.posexplode(base).alias("target", "b"))
+    base_long = base_rows.select("target", "b.*").unpivot("target", list("epa"), "dim", "value")
+    pooled = pointfit.shared_vector(shrunk_mean(fit, base_long, ["target", "dim"]), base)
+    vectors = materialize(pointfit.user_vectors(fit, pooled), "vectors")
+    test = pointfit.with_vectors(test, vectors, pooled)
+    forms = materialize(co.target_forms(test, "vec"), "forms")
+    mentions = pointfit.with_vectors(forms.select("unit_id", "user_id", "target"), vectors, pooled)
     rows = predict.deflection_weights(mentions, forms)
     return mention_scores(rows, {"our_sent": "weights"}, "target", ["unit_id", "user_id", "target"])
 

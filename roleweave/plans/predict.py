@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DIMS
+from ..functions.arrays import dense, let, patched, total
 from ..functions.stats import log_sum_exp
 from ..operators import coefficients as co
 
@@ -24,12 +25,8 @@ def vector_of(long: DataFrame, size: Column, idx: str = "idx", value: str = "val
     The table holds one row per identity of the list.
     """
     entries = F.collect_list(F.struct(F.col(idx).cast("int").alias("i"), F.col(value).alias("v")))
-    one = long.agg(F.map_from_entries(entries).alias("m")).withColumn("k", size)
-    return one.select(dense(F.col("m"), F.col("k"), default)).scalar()
-
-
-def dense(lookup: Column, size: Column, default: float = 0.0) -> Column:
-    return F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(default)))
+    one = long.agg(entries.alias("e")).withColumn("k", size)
+    return one.select(dense(F.col("e"), F.col("k"), F.lit(default))).scalar()
 
 
 def global_multinomial(counts: DataFrame, idx: str = "idx", n: str = "n") -> DataFrame:
@@ -40,23 +37,26 @@ def global_multinomial(counts: DataFrame, idx: str = "idx", n: str = "n") -> Dat
 
 def smoothed_user_multinomial(vectors: DataFrame, train: str = "train", alpha: float = 1.0) -> DataFrame:
     """Add ``p``: (n + alpha) / (sum + alpha * K) for every identity of the list."""
-    total = F.aggregate(train, F.lit(0.0), lambda s, x: s + x) + alpha * F.size(train)
-    return vectors.withColumn("_t", total).withColumn("p", F.transform(train, lambda x: (x + alpha) / F.col("_t"))).drop("_t")
+    vec = F.col(train)
+    p = let(total(vec) + alpha * F.size(vec), lambda t: F.transform(vec, lambda x: (x + alpha) / t))
+    return vectors.withColumn("p", p)
 
 
 def user_sent_vectors(user_means: DataFrame, base: Column, rescale: float | None = 1.0, user: str = "user_id") -> DataFrame:
     """One row per user: the base vector with the user's own means, rescaled to ±rescale."""
     entries = F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), F.col("val").alias("v")))
-    own = user_means.groupBy(user).agg(F.map_from_entries(entries).alias("_own")).withColumn("_base", base)
-    vec = F.transform("_base", lambda b, i: F.coalesce(F.try_element_at("_own", i), b))
-    out = own.withColumn("vec", vec)
-    return out.select(user, (rescaled("vec", rescale) if rescale else F.col("vec")).alias("vec"))
+    own = user_means.groupBy(user).agg(entries.alias("_own")).withColumn("_base", base)
+    out = own.select(user, patched(F.col("_base"), F.col("_own")).alias("vec"))
+    return out.select(user, rescaled("vec", rescale).alias("vec")) if rescale else out
 
 
 def rescaled(vec: str | Column, half_range: float) -> Column:
     vec = F.col(vec) if isinstance(vec, str) else vec
-    lo, hi = F.array_min(vec), F.array_max(vec)
-    return F.transform(vec, lambda v: (v - lo) * (2 * half_range) / (hi - lo) - half_range)
+    bounds = F.struct(F.array_min(vec).alias("lo"), F.array_max(vec).alias("hi"))
+    return let(
+        bounds,
+        lambda b: F.transform(vec, lambda v: (v - b["lo"]) * (2 * half_range) / (b["hi"] - b["lo"]) - half_range),
+    )
 
 
 # -- log weights ------------------------------------------------------------------
@@ -109,17 +109,15 @@ def multinomial_log_lik(x: Column, p: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
 
 
-def log_count_term(df: DataFrame, x: str, out: str) -> DataFrame:
+def log_count_term(df: DataFrame, x: str, out: str, key: str = "user_id") -> DataFrame:
     """log(n!) - sum log(x!) of a count vector; lgamma runs Arrow batch-wise on
     distinct counts only."""
     from ..functions.stats import lgamma
 
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    sized = df.withColumn("_n", total)
-    values = sized.select(F.explode(F.concat(F.col(x), F.array("_n"))).alias("_v")).distinct()
-    table = values.select("_v", lgamma(F.col("_v") + 1).alias("_g"))
-    entries = F.map_from_entries(F.collect_list(F.struct("_v", "_g")))
-    lookup = table.agg(entries).scalar()
-    sized = sized.withColumn("_lg", lookup)
-    spent = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.element_at("_lg", v))
-    return sized.withColumn(out, F.element_at("_lg", F.col("_n")) - spent).drop("_n", "_lg")
+    sized = df.withColumn("_n", total(F.col(x)))
+    values = sized.select(F.explode(F.concat(F.col(x), F.array("_n"))).alias("n")).distinct()
+    table = values.select("n", lgamma(F.col("n") + 1).alias("g"))
+    parts = sized.select(key, F.explode(x).alias("n")).groupBy(key, "n").agg(F.count("*").alias("c"))
+    spent = parts.join(table, "n").groupBy(key).agg(F.sum(F.col("c") * F.col("g")).alias("_s"))
+    whole = sized.join(table.withColumnRenamed("n", "_n"), "_n").join(spent, key)
+    return whole.withColumn(out, F.col("g") - F.col("_s")).drop("_n", "g", "_s")
