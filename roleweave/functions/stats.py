@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import let, total
 
@@ -52,14 +53,17 @@ def log_sub(a: Column, b: Column) -> Column:
     return F.when(ea - eb <= 0, top).otherwise(top + F.log(ea - eb))
 
 
-@F.pandas_udf("double")
-def lgamma(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Natural log of the gamma function, Arrow batch at a time."""
+def _lgamma(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     fn = np.frompyfunc(math.lgamma, 1, 1)
     for batch in values:
         yield pd.Series(fn(batch.to_numpy(dtype=float)).astype(float), index=batch.index)
 
 
+def lgamma(value: Column) -> Column:
+    """Natural log of the gamma function, Arrow batch at a time."""
+    return F.pandas_udf(_lgamma, T.DoubleType())(value)
+
+
 def euclid_similarity(left: list[Column], right: list[Column]) -> Column:
     dist = sum(((a - b) * (a - b) for a, b in zip(left, right)), F.lit(0.0))
     return 1 / (1 + F.sqrt(dist))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def moment_rows(vectors: DataFrame, vec: str = "vec") -> DataFrame:
                 cross = x.T @ x if cross is None else cross + x.T @ x
         if n:
             rows = [sums, *cross]
-            salt = int.from_bytes(np.float64(sums[0]).tobytes()[:2], "little") % FANOUT
-            yield pd.DataFrame({"i": range(-1, len(rows) - 1), "part": salt, "n": n, "vec": rows})
+            part = TaskContext.get().partitionId() % FANOUT
+            yield pd.DataFrame({"i": range(-1, len(rows) - 1), "part": part, "n": n, "vec": rows})
 
     parts = vectors.select(F.col(vec).alias("vec")).mapInPandas(partial, "i int, part int, n long, vec array<double>")
     first = parts.groupBy("i", "part").applyInPandas(

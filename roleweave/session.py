@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +33,21 @@ RUNTIME = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="roleweave-code-"), "roleweave_code")
+        archive = shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+    return spark
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session made elsewhere."""
     for key, value in RUNTIME.items():
