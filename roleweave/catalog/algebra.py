@@ -169,30 +169,30 @@ pl AS (SELECT e.*, va.e AS xe, va.p AS xp, va.a AS xa, vo.e AS ye, vo.p AS yp, v
 px AS (SELECT event_id, user_id, be, bp, ba,
   {", ".join(f"CASE WHEN has_am THEN {m} ELSE x{d} END AS A{d}" for m, d in zip(_modified_sql(["me", "mp", "ma"], ["xe", "xp", "xa"]), "epa"))},
   {", ".join(f"CASE WHEN use_om THEN {m} ELSE y{d} END AS O{d}" for m, d in zip(_modified_sql(["ne", "np", "na"], ["ye", "yp", "ya"]), "epa"))} FROM pl)
-SELECT event_id AS unit_id, user_id, round({_deflection_sql(['Ae','Ap','Aa','be','bp','ba','Oe','Op','Oa'])}, 5) AS deflection FROM px""")
+SELECT event_id AS unit_id, user_id, round({_deflection_sql(['Ae','Ap','Aa','be','bp','ba','Oe','Op','Oa'])}, 9) AS deflection FROM px""")
 def event_deflections(spark, d):
     c = event_constraints(spark, d).withColumn("vec", vector(F.col("user_id"), F.col("k")))
-    return co.unit_deflection(c).select("unit_id", "user_id", F.round("deflection", 5).alias("deflection"))
+    return co.unit_deflection(c).select("unit_id", "user_id", F.round("deflection", 9).alias("deflection"))
 
 
 @proof("equality_deflections", "C15 C13", "WITH " + EVENTS_SQL + """
-SELECT event_id, round(pow(va.e + s*w.e, 2) + pow(va.p + s*w.p, 2) + pow(va.a + s*w.a, 2), 5) AS deflection
+SELECT event_id, round(pow(va.e + s*w.e, 2) + pow(va.p + s*w.p, 2) + pow(va.a + s*w.a, 2), 9) AS deflection
 FROM (SELECT *, CASE WHEN negated THEN 1 ELSE -1 END AS s FROM ev) e JOIN vals va ON va.user_id=e.user_id AND va.idx=actor JOIN wv w ON w.z=verb""")
 def equality_deflections(spark, d):
     ev = event_rows(spark, d)
     own = F.get(vector(F.col("user_id"), F.col("k")), F.col("actor"))
     q = co.equality_deflection([own[x] for x in "epa"], word(F.col("verb")), F.col("negated"))
-    return ev.select("event_id", F.round(q, 5).alias("deflection"))
+    return ev.select("event_id", F.round(q, 9).alias("deflection"))
 
 
 @proof("point_deflections", "C16", "WITH " + EVENTS_SQL + """
-SELECT event_id, round(pow(va.e - w.e, 2) + pow(va.p - w.p, 2), 5) AS deflection
+SELECT event_id, round(pow(va.e - w.e, 2) + pow(va.p - w.p, 2), 9) AS deflection
 FROM ev e JOIN vals va ON va.user_id=e.user_id AND va.idx=actor JOIN wv w ON w.z=verb""")
 def point_deflections(spark, d):
     ev = event_rows(spark, d)
     own = F.get(vector(F.col("user_id"), F.col("k")), F.col("actor"))
     w = word(F.col("verb"))
-    return ev.select("event_id", F.round(co.point_deflection([own[x] for x in "epa"], [w[0], w[1], None]), 5).alias("deflection"))
+    return ev.select("event_id", F.round(co.point_deflection([own[x] for x in "epa"], [w[0], w[1], None]), 9).alias("deflection"))
 
 
 @proof("averaged_entities", "C11", "WITH " + frames.LEXICONS_SQL + """,
@@ -207,13 +207,13 @@ def averaged_entities(spark, d):
 
 
 @proof("modified_identities", "C12 S6", "WITH " + EVENTS_SQL + f"""
-SELECT event_id, {", ".join(f"round({m}, 5) AS {d}" for m, d in zip(_modified_sql(["w.e", "w.p", "w.a"], ["va.e", "va.p", "va.a"]), "epa"))}
+SELECT event_id, {", ".join(f"round({m}, 9) AS {d}" for m, d in zip(_modified_sql(["w.e", "w.p", "w.a"], ["va.e", "va.p", "va.a"]), "epa"))}
 FROM ev JOIN vals va ON va.user_id=ev.user_id AND va.idx=actor JOIN wv w ON w.z=am""")
 def modified_identities(spark, d):
     ev = event_rows(spark, d)
     own = F.get(vector(F.col("user_id"), F.col("k")), F.col("actor"))
     out = co.modified(word(F.col("am")), [own[x] for x in "epa"])
-    return ev.select("event_id", *[F.round(m, 5).alias(x) for m, x in zip(out, "epa")])
+    return ev.select("event_id", *[F.round(m, 9).alias(x) for m, x in zip(out, "epa")])
 
 
 @proof("point_fit_first_pass", "M13 A2", PREPARED + """

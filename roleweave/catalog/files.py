@@ -75,7 +75,7 @@ def _modifier_inputs(spark, d):
 
 
 MODIFIED = "WITH " + algebra.EVENTS_SQL + f"""
-SELECT event_id, {", ".join(f"round({m}, 5) AS {x}" for m, x in zip(algebra._modified_sql(["w.e", "w.p", "w.a"], ["va.e", "va.p", "va.a"]), "epa"))}
+SELECT event_id, {", ".join(f"round({m}, 9) AS {x}" for m, x in zip(algebra._modified_sql(["w.e", "w.p", "w.a"], ["va.e", "va.p", "va.a"]), "epa"))}
 FROM ev JOIN vals va ON va.user_id=ev.user_id AND va.idx=actor JOIN wv w ON w.z=am"""
 
 
@@ -86,7 +86,7 @@ def equation_file_applied(spark, d):
     spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
     ev, values = _modifier_inputs(spark, d)
     cols = lexicons.equation_columns(lexicons.read_equation_table(spark, path, MODIFIER_VARS), values)
-    return ev.select("event_id", *[F.round(c, 5).alias(x) for c, x in zip(cols, "epa")])
+    return ev.select("event_id", *[F.round(c, 9).alias(x) for c, x in zip(cols, "epa")])
 
 
 @proof("equation_blocks_applied", "S7 C12", MODIFIED)
@@ -99,7 +99,7 @@ def equation_blocks_applied(spark, d):
     spark.createDataFrame([(b,) for b in blocks], "value string").coalesce(1).write.option("lineSep", "\n\n").text(path)
     ev, values = _modifier_inputs(spark, d)
     cols = lexicons.equation_columns(lexicons.read_equation_blocks(spark, path), values)
-    return ev.select("event_id", *[F.round(c, 5).alias(x) for c, x in zip(cols, "epa")])
+    return ev.select("event_id", *[F.round(c, 9).alias(x) for c, x in zip(cols, "epa")])
 
 
 def unit_texts(spark, d):
