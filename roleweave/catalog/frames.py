@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import NEGATION_WORDS
 from ..operators import matching
 from ..operators.ranking import stable_index
 from ..session import materialize, spread
@@ -168,22 +169,29 @@ TOKENS_SQL = """tok AS (
           (['N','V','A','D','^','S'])[CAST((length(w)+(i-1)%24+1)%6+1 AS INT)] AS pos FROM words))"""
 
 
-def matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens with ``id_forms``, ``sent_forms``, ``negated``, ``is_address``, ``mention``."""
+def matched_tokens(spark: SparkSession, sf_dir: str, unknown_only: bool = False) -> DataFrame:
+    """Tokens with ``id_forms``, ``sent_forms``, ``negated``, ``is_address``, ``mention``.
+
+    ``unknown_only`` keeps the identities that have no lexicon value.
+    """
 
     def build():
         t = tokens(spark, sf_dir)
-        ids = identities(spark, sf_dir).select("term", "id", "idx", "e", "p", "a")
         lex = lexicon(spark, sf_dir)
-        id_vocab = kept("id_vocab", spark, sf_dir, lambda: matching.match_vocabulary(t, ids))
-        lex_vocab = kept("lex_vocab", spark, sf_dir, lambda: matching.match_vocabulary(t, lex))
-        t = matching.match_lexicon(t, id_vocab, "id_forms")
-        t = matching.match_lexicon(t, lex_vocab, "sent_forms")
+        ids = identities(spark, sf_dir).select("term", "id", "idx", "e", "p", "a")
+        if unknown_only:
+            ids = ids.join(lex.select("term"), "term", "left_anti")
+        vocab = kept("vocab", spark, sf_dir, lambda: matching.vocabulary(t))
+        tag = "new_" if unknown_only else ""
+        id_vocab = kept(tag + "id_vocab", spark, sf_dir, lambda: matching.match_vocabulary(vocab, ids))
+        lex_vocab = kept("lex_vocab", spark, sf_dir, lambda: matching.match_vocabulary(vocab, lex))
+        # Neighbours first: that shuffle then carries plain tokens only.
         t = matching.exclude_address_forms(matching.negated(t), STAND_IN_ADDRESS)
+        t = matching.match_lexicon(matching.match_lexicon(t, id_vocab, "id_forms"), lex_vocab, "sent_forms")
         cond = (F.size("id_forms") > 0) & matching.mention_class(F.col("pos"), F.col("ptb")) & ~F.col("is_address")
         return t.withColumn("mention", cond)
 
-    return kept("matched", spark, sf_dir, build)
+    return kept("matched_new" if unknown_only else "matched", spark, sf_dir, build)
 
 
 # Forms of address of the stand-in text: words next to other words.
@@ -219,8 +227,12 @@ men AS (SELECT *, id_term IS NOT NULL AND (pos IN ('N','^','A','S','Z','#') OR l
 )
 
 
-def matched_sql() -> str:
-    from ..functions.fixed_values import NEGATION_WORDS
-
+def matched_sql(unknown_only: bool = False) -> str:
     quoted = ",".join("'" + w.replace("'", "''") + "'" for w in NEGATION_WORDS)
-    return MATCHED_SQL.replace("{NEG}", quoted)
+    sql = MATCHED_SQL.replace("{NEG}", quoted)
+    if unknown_only:
+        # The same ids, without the identities of the lexicon.
+        sql = sql.replace("idents AS (", "every AS (", 1).replace(
+            ",\ntok AS (", ",\nidents AS (SELECT * FROM every WHERE term NOT IN (SELECT term FROM lex)),\ntok AS (", 1
+        )
+    return sql

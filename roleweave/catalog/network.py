@@ -8,6 +8,8 @@ from ..functions import stats
 from ..operators import filters, joins, network as nw
 from ..operators.ranking import neighbour_top_k
 from ..plans import scatter
+from ..session import scratch_path
+from ..sources.files import write_csv
 from . import frames
 from .base import proof
 from .lexicon import rounded
@@ -132,7 +134,11 @@ def order_part_components(spark, d):
     return nw.connected_components(order_parts(spark, d))
 
 
-@proof("largest_component", "N4", None)
+@proof("largest_component", "N4", "WITH RECURSIVE " + GRAPH_SQL + """,
+e AS (SELECT o*2 AS a, p*2+1 AS b FROM g UNION SELECT p*2+1, o*2 FROM g),
+r(v, c) USING KEY (v) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a UNION SELECT e.b, min(r.c) FROM r JOIN e ON e.a = r.v JOIN recurring.r x ON x.v = e.b WHERE r.c < x.c GROUP BY e.b),
+big AS (SELECT c FROM r GROUP BY c ORDER BY count(*) DESC, c LIMIT 1)
+SELECT o*2 AS src, p*2+1 AS dst FROM g JOIN r ON r.v = o*2 WHERE r.c IN (SELECT c FROM big)""")
 def largest_component(spark, d):
     return nw.largest_component(order_parts(spark, d))
 
@@ -177,3 +183,10 @@ def point_densities(spark, d):
     pts = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xy")])
     out = nw.density_at_points(pts, "x", "y", "label")
     return out.select("vec_id", "label", F.round("density", 6).alias("density"))
+
+
+@proof("edge_file", "S15 N3", "WITH " + COV_SQL + " SELECT src, dst, round(weight, 7) AS weight FROM edges")
+def edge_file(spark, d):
+    path = scratch_path(spark, "edge-csv")
+    write_csv(edges(spark, d), path)
+    return rounded(spark.read.schema("src string, dst string, weight double").option("header", True).csv(path), ["weight"], 7)

@@ -245,3 +245,10 @@ SELECT user_id, max(CASE WHEN event_type='click' THEN n END) AS click, max(CASE
 def spread_measures(spark, d):
     c = frames.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return ag.spread(c, ["user_id"], "event_type", "n", ["click", "view", "purchase"])
+
+
+@proof("units_by_user", "U1", "SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def units_by_user(spark, d):
+    ev = frames.table(spark, d, "events").select(F.concat_ws("\t", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("unit_id"))
+    u = users.units_by_user(ev)
+    return u.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("unit_id").cast("long")).alias("ids"))

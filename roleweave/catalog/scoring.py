@@ -286,3 +286,13 @@ def recovered_means(spark, d):
     got = ag.mean_of_means(um, "idx").withColumnRenamed("mean_val", "inferred")
     out = evaluate.recovery_check(true, got)
     return out.select(F.round("r", 5).alias("r"), F.round("mae", 6).alias("mae"))
+
+
+@proof("user_constraint_split", "U2 C17", algebra.PREPARED + ", " + SPLIT_SQL + """
+SELECT c.user_id, c.target, c.dim, s.split, count(*) AS n, round(sum(c.c0), 9) AS c0, round(sum(c.c1), 9) AS c1
+FROM coefs c JOIN split s ON s.event_id = c.unit_id GROUP BY ALL""")
+def user_constraint_split(spark, d):
+    split = split_events(spark, d).select(F.col("event_id").alias("unit_id"), "split")
+    c = users.user_constraints(algebra.user_coefs(spark, d), split)
+    out = c.groupBy("user_id", "target", "dim", "split").agg(F.count("*").alias("n"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return rounded(out, ["c0", "c1"], 9)

@@ -168,7 +168,7 @@ def phrase_tokens_matched(spark, d):
     """The ladder on merged tokens: parts of a phrase, or their joined entry."""
     merged = matching.merge_phrases(frames.tokens(spark, d), frequent_pairs(spark, d), 2)
     lex = frames.lexicon(spark, d)
-    vocab = matching.match_vocabulary(merged, lex)
+    vocab = matching.match_vocabulary(matching.vocabulary(merged), lex)
     both = matching.match_lexicon(merged.where("n_parts > 1"), vocab)
     return both.select("unit_id", "id", "form", F.array_join(F.transform("forms", lambda f: f["term"]), "|").alias("forms"))
 

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import DIMS
 
 
-def candidate_unit(tokens: Column, words: Column, reposted: Column, variants: Column | None = None) -> Column:
-    """Not a repost, more than four tokens, some token or variant is a known word.
-
-    For a bounded word list given as an array column; `filter_candidate_units`
-    is the join form for word lists of any size.
-    """
-    seen = tokens if variants is None else F.concat(tokens, variants)
-    return ~reposted & (F.size(tokens) > 4) & F.arrays_overlap(seen, words)
-
-
 def filter_candidate_units(
     units: DataFrame, words: DataFrame, unit: str = "unit_id", tokens: str = "tokens", word: str = "term"
 ) -> DataFrame:

@@ -80,8 +80,15 @@ def mention_class(pos: Column, ptb: Column) -> Column:
 # -- lexicon ladder ---------------------------------------------------------
 
 
-def match_vocabulary(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Matched forms of every distinct (text, lemma, proper) of the tokens.
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """Distinct (text, lemma, proper) of the tokens."""
+    return tokens.select(
+        F.lower("form").alias("text"), F.col("lemma"), all_proper(F.col("pos")).alias("proper")
+    ).distinct()
+
+
+def match_vocabulary(vocab: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Matched forms of every entry of a `vocabulary`.
 
     Ladder: whole text; text without plural s; for one-word or proper tokens
     the lemma; for phrases every known part, or the parts joined if that is an
@@ -89,9 +96,6 @@ def match_vocabulary(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     payload = F.struct(*[F.col(c) for c in ["term", *[c for c in lexicon.columns if c != "term"]]])
     lex = lexicon.select(F.col("term").alias("_cand"), payload.alias("_form"))
-    vocab = tokens.select(
-        F.lower("form").alias("text"), F.col("lemma"), all_proper(F.col("pos")).alias("proper")
-    ).distinct()
     parts = split_phrase(F.col("text"))
     single = (F.size(parts) <= 1) | F.col("proper")
 

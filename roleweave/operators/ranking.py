@@ -1,9 +1,9 @@
 """Ranks, indices, quantiles, splits and top-k that hold up under hot keys.
 
 A plain ``row_number() over (partition by user ...)`` puts a hot user's rows in
-one task.  Here a group is first cut into buckets that follow the sort order;
-bucket counts are small and give each bucket its offset, and only the rows of
-one bucket are sorted together.
+one task.  Here a hot group is first cut into buckets that follow the sort
+order; bucket counts are small and give each bucket its offset, and only the
+rows of one bucket are sorted together.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BINS = 1024
 
 
+# A key with more rows than this is ranked bucket by bucket.
+HOT_ROWS = 1_000_000
+
+
 def bucketed_row_number(
     df: DataFrame,
     keys: list[str],
@@ -21,26 +25,35 @@ def bucketed_row_number(
     bucket: Column,
     out: str = "rn",
     total: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """1-based rank per ``keys`` by ``order``.
+    """1-based rank per ``keys`` (not null) by ``order``, and the key's row count.
 
-    ``bucket`` must not decrease along ``order``.  The join with the bucket
-    offsets is on (keys, bucket), so a hot key is spread over its buckets.
+    Keys of ordinary size take a plain window.  Hot keys, of which there are at
+    most rows / ``hot_rows``, are cut by ``bucket``, which must not decrease
+    along ``order``: only one bucket's rows are sorted together.
     """
+    if not keys:
+        return _by_buckets(df, keys, order, bucket, out, total)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
+    w = Window.partitionBy(*keys)
+    cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long"))
+    if total:
+        cold = cold.withColumn(total, F.count("*").over(w))
+    return cold.unionByName(_by_buckets(df.join(hot, keys, "left_semi"), keys, order, bucket, out, total))
+
+
+def _by_buckets(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str, total: str | None) -> DataFrame:
+    """Rank within buckets plus the rows of earlier buckets; bucket counts are small."""
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
     )
     local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
-    on = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = local.join(offsets, on)
+    ranked = local.join(offsets, [*keys, "_bucket"])
     cols = [*df.columns, (F.col("_offset") + F.col("_rn")).alias(out)]
     if total:
         cols.append(F.col("_total").alias(total))
@@ -80,7 +93,7 @@ def split_train_test(
     if seed is not None:
         units = units.withColumn("_shuffle", F.xxhash64(F.lit(seed), F.col(unit)))
         order = ["_shuffle", unit]
-        bucket = F.shiftright(F.col("_shuffle"), 56)
+        bucket = F.shiftright(F.col("_shuffle"), 52)
     ranked = bucketed_row_number(units, [user], order, bucket, "_rn", "_n")
     n_test = F.floor(F.lit(frac) * F.col("_n"))
     n_train = F.col("_n") - n_test + (1 if off_by_one else 0)

@@ -30,7 +30,7 @@ def _tokens(spark, forms, pos=None):
 def test_ladder_on_phrases(spark):
     lex = spark.createDataFrame([("police", 1), ("officer", 2), ("chief", 3), ("police officer", 4), ("was", 5)], "term string, id int")
     t = _tokens(spark, ["police officers", "chief/officer", "officers", "was", "wa", "Police"])
-    m = matching.match_lexicon(t, matching.match_vocabulary(t, lex))
+    m = matching.match_lexicon(t, matching.match_vocabulary(matching.vocabulary(t), lex))
     got = {r["form"]: [f["term"] for f in r["forms"]] for r in m.collect()}
     assert got["police officers"] == ["police officer"]
     assert got["chief/officer"] == ["chief", "officer"]
@@ -59,7 +59,7 @@ def test_masking_and_text(spark):
 
 def test_rank_under_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("user_id"), "id")
-    got = ranking.bucketed_row_number(df, ["user_id"], ["id"], F.floor(F.col("id") / 100), "rn", "n").toPandas()
+    got = ranking.bucketed_row_number(df, ["user_id"], ["id"], F.floor(F.col("id") / 100), "rn", "n", hot_rows=200).toPandas()
     want = got.sort_values("id").groupby("user_id").cumcount() + 1
     assert (got.sort_values("id")["rn"].to_numpy() == want.to_numpy()).all()
     assert (got.groupby("user_id")["n"].first() == got.groupby("user_id").size()).all()
