@@ -113,7 +113,7 @@ def test_chain_arithmetic_equals_columns(spark):
         a, b = want.get(key, (0.0, 0.0))
         want[key] = (a + w, b - w * r["c1"] / (2 * r["c0"] + 1e-4))
     got = {}
-    for user in sentiment.fold_constraints(df).collect():
+    for user in sentiment.fold_constraints(df).rows.collect():
         for f in user["fixed"] or []:
             key = (user["user_id"], f["k"] // 3, "epa"[f["k"] % 3])
             got[key] = (f["w"], f["wx"])
