@@ -204,11 +204,35 @@ def spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges."""
-    steps = np.zeros(n + 1, np.int64)
-    np.add.at(steps, start, 1)
-    np.add.at(steps, end, -1)
+    steps = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(steps[:-1]) > 0
 
 
 def longs(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == U else a.astype(np.int64), pa.int64())
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a.view(U) * BASES[0] + b.astype(U))
+
+
+class Lists:
+    """A list column as slices of flat arrays; null counts as empty."""
+
+    def __init__(self, column: pa.Array):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        self.start, self.end = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        self.end = np.where(valid, self.end, self.start)
+        self.filled = self.end > self.start
+        values = column.values
+        if pa.types.is_struct(values.type):
+            self.flat = {f.name: values.field(f.name).to_numpy(zero_copy_only=False) for f in values.type}
+        else:
+            self.flat = values.to_numpy(zero_copy_only=False)
+
+    def __getitem__(self, r: int) -> np.ndarray:
+        return self.flat[self.start[r] : self.end[r]]
+
+    def fields(self, r: int) -> dict[str, np.ndarray]:
+        return {n: a[self.start[r] : self.end[r]] for n, a in self.flat.items()}

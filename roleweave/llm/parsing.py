@@ -84,7 +84,7 @@ def _anchors(spec: Windows, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def _settle(spec: Windows, parse: A.Parse, t: int, marks: list, links: set, own):
+def _settle(spec: Windows, parse: A.Parse, t: int, marks: dict, links: np.ndarray, own):
     """Ranges known to occur elsewhere, and the starts of windows still open, of text ``t``.
 
     ``own`` is the text's id where only earlier texts count, else None.
@@ -93,15 +93,17 @@ def _settle(spec: Windows, parse: A.Parse, t: int, marks: list, links: set, own)
     k, n, m = spec.k, spec.units, int(parse.counts[t])
     lo, hi = parse.bounds[t], parse.bounds[t + 1]
     at = parse.at[lo:hi] - parse.starts[t]
-    if not marks or m < n or not len(at):
-        return none, none, none
+    if m < n or not len(at):
+        return none, none
     names = parse.runs(parse.at[lo:hi] - k + 1, parse.at[lo:hi] + k).view(np.int64)
     known, link, before = np.zeros(len(at), bool), np.zeros(len(at), bool), np.zeros(len(at), bool)
-    for mark in marks:
-        j = mark["j"]
-        if j < len(at) and at[j] == mark["at"] and names[j] == mark["h"]:
-            known[j], link[j] = True, j in links
-            before[j] = own is None or mark["lo"] < own
+    j = marks["j"]
+    ok = j < len(at)  # rows of equal key may differ: places and names are checked against this text
+    ok[ok] = (at[j[ok]] == marks["at"][ok]) & (names[j[ok]] == marks["h"][ok])
+    j = j[ok]
+    known[j] = True
+    link[j] = np.isin(j, links)
+    before[j] = True if own is None else marks["lo"][ok] < own
     link[:-1] &= known[1:]
     link[-1] = False
     # chains: runs of known anchors held together by links
@@ -118,7 +120,7 @@ def _settle(spec: Windows, parse: A.Parse, t: int, marks: list, links: set, own)
     c = chain[a] - 1
     inside = (chain[b - 1] - 1 == c) & (i >= begin[c]) & (i + n <= end[c])
     sure = i[inside & before[heads[c]]]
-    return sure, i[~inside], names
+    return sure, i[~inside]
 
 
 def _merge(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +135,11 @@ def _open(spec: Windows, ordered: bool, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             data, offsets = A.utf8(batch.column("text"))
-            marks, links = batch.column("marks").to_pylist(), batch.column("links").to_pylist()
-            owners = batch.column("ord").to_pylist() if ordered else [None] * len(marks)
-            out = {n: [None] * len(marks) for n in ("text", "digest", "n", "starts", "ends", "win", "f1", "f2")}
+            marks, links = A.Lists(batch.column("marks")), A.Lists(batch.column("links"))
+            owners = batch.column("ord").to_pylist() if ordered else [None] * len(batch)
+            out = {n: [None] * len(batch) for n in ("text", "digest", "n", "starts", "ends", "win", "f1", "f2")}
             for lo, hi in A.slices(offsets):
-                if not any(marks[lo:hi]) and spec.kind == "bytes":
+                if not marks.filled[lo:hi].any() and spec.kind == "bytes":
                     parse = None
                 else:
                     parse, words = spec.parse(data, offsets[lo : hi + 1])
@@ -146,8 +148,8 @@ def _open(spec: Windows, ordered: bool, schema: pa.Schema):
                     raw = data[offsets[r] : offsets[r + 1]]
                     out["n"][r] = len(raw) if spec.kind == "bytes" else int(np.diff(words.bounds[r - lo : r - lo + 2])[0])
                     sure = still = np.zeros(0, np.int64)
-                    if marks[r] and not (ordered and owners[r] is None):
-                        sure, still, _ = _settle(spec, parse, r - lo, marks[r], set(links[r] or ()), owners[r])
+                    if marks.filled[r] and not (ordered and owners[r] is None):
+                        sure, still = _settle(spec, parse, r - lo, marks.fields(r), links[r], owners[r])
                     if len(sure) or len(still):
                         out["text"][r] = raw.tobytes()
                         out["starts"][r], out["ends"][r] = _merge(sure, spec.length)
@@ -173,23 +175,18 @@ def _digest(spec: Windows, raw: np.ndarray, words: A.Words | None, t: int) -> st
 def _finish(spec: Windows, schema: pa.Schema):
     def run(batches):
         for batch in batches:
-            get = {n: batch.column(n).to_pylist() for n in ("text", "digest", "n", "starts", "ends", "found")}
-            wins, names = batch.column("win"), batch.column("f1")
+            get = {n: batch.column(n).to_pylist() for n in ("text", "digest", "n")}
+            lists = {n: A.Lists(batch.column(n)) for n in ("starts", "ends", "win", "f1", "found")}
             out = {"spans": [], "kept": [], "kept_sha256": [], "n_removed": []}
             for r, raw in enumerate(get["text"]):
                 starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if raw is not None:
                     n = get["n"][r]
-                    found = {(f["win"], f["f1"]) for f in get["found"][r] or ()}
-                    if found:
-                        own = zip(wins[r].values.to_pylist(), names[r].values.to_pylist())
-                        hit = np.array([w for w, f in own if (w, f) in found], np.int64)
-                    else:
-                        hit = np.zeros(0, np.int64)
+                    win, found = lists["win"][r], lists["found"].fields(r)
+                    own = A.pair_hash(lists["f1"][r], win)
+                    hit = win[np.isin(own, A.pair_hash(found["f1"], found["win"]))]
                     gone = A.cover(
-                        n,
-                        np.concatenate((np.array(get["starts"][r], np.int64), hit)),
-                        np.concatenate((np.array(get["ends"][r], np.int64), hit + spec.length)),
+                        n, np.concatenate((lists["starts"][r], hit)), np.concatenate((lists["ends"][r], hit + spec.length))
                     )
                     starts, ends = A.spans(gone)
                     if spec.kind == "bytes":
