@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
             path.getFileSystem(conf).delete(path, True)
+        gc.collect()
         jvm.System.gc()
 
 

@@ -6,12 +6,14 @@ least one anchor whose whole neighbourhood lies inside it.  So
 
 1. the neighbourhoods of all anchors are counted (the dictionary); a window
    that holds a neighbourhood found once cannot occur again and is settled;
-2. two anchors in a row are linked if every place of the one is followed by
-   the other at the same distance.  A chain of links reads the same in all its
-   places, so every window inside a chain is settled as well: it occurs in
-   each of them;
-3. only windows across the ends of chains are left, about one anchor gap for
-   each end.  They are named by two hashes and counted one by one.
+2. the other windows form groups: consecutive windows that hold the same
+   anchors.  A group has two names: its core, from the first to the last of
+   these neighbourhoods, which all its windows share, and its whole, from the
+   first byte of its first window to the last byte of its last.  Groups of
+   equal whole are settled together: all their windows occur in each of them;
+3. what is left are groups of equal core and different wholes, at the ends of
+   repeats.  One group of each whole names its windows, which are counted one
+   by one.
 
 Counts are aggregated before they are shuffled, so a passage in a third of all
 texts is a row per task; the rows that look up a count are joined with a table
@@ -84,129 +86,145 @@ def _anchors(spec: Windows, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def _settle(spec: Windows, parse: A.Parse, t: int, marks: dict, links: np.ndarray, own):
-    """Ranges known to occur elsewhere, and the starts of windows still open, of text ``t``.
-
-    ``own`` is the text's id where only earlier texts count, else None.
-    """
-    none = np.zeros(0, np.int64)
-    k, n, m = spec.k, spec.units, int(parse.counts[t])
+def _groups(spec: Windows, parse: A.Parse, t: int, marks: dict[str, np.ndarray]):
+    """Groups of windows of text ``t`` that may occur again: first and last start, core, whole."""
     lo, hi = parse.bounds[t], parse.bounds[t + 1]
-    at = parse.at[lo:hi] - parse.starts[t]
+    k, n, m, s = spec.k, spec.units, int(parse.counts[t]), parse.starts[t]
+    at = parse.at[lo:hi] - s
     if m < n or not len(at):
-        return none, none
+        return None
     names = parse.runs(parse.at[lo:hi] - k + 1, parse.at[lo:hi] + k).view(np.int64)
-    known, link, before = np.zeros(len(at), bool), np.zeros(len(at), bool), np.zeros(len(at), bool)
     j = marks["j"]
     ok = j < len(at)  # rows of equal key may differ: places and names are checked against this text
     ok[ok] = (at[j[ok]] == marks["at"][ok]) & (names[j[ok]] == marks["h"][ok])
-    j = j[ok]
-    known[j] = True
-    link[j] = np.isin(j, links)
-    before[j] = True if own is None else marks["lo"][ok] < own
-    link[:-1] &= known[1:]
-    link[-1] = False
-    # chains: runs of known anchors held together by links
-    first = known & ~np.concatenate(([False], link[:-1]))
-    chain = np.cumsum(first)
-    heads = np.flatnonzero(first)
-    tails = np.flatnonzero(known & ~link)
-    begin, end = at[heads] - k + 1, at[tails] + k
-    # windows all of whose anchors are known
+    known = np.zeros(len(at), np.int64)
+    known[j[ok]] = 1
     i = np.arange(m - n + 1)
     a, b = np.searchsorted(at, i + k - 1), np.searchsorted(at, i + n - k, "right")
     total = np.concatenate(([0], np.cumsum(known)))
     i, a, b = (x[total[b] - total[a] == b - a] for x in (i, a, b))
-    c = chain[a] - 1
-    inside = (chain[b - 1] - 1 == c) & (i >= begin[c]) & (i + n <= end[c])
-    sure = i[inside & before[heads[c]]]
-    return sure, i[~inside]
-
+    if not len(i):
+        return None
+    cut = np.flatnonzero((np.diff(i) > 1) | (np.diff(a) > 0) | (np.diff(b) > 0))
+    first, last = np.append(0, cut + 1), np.append(cut, len(i) - 1)
+    core = parse.runs(s + at[a[first]] - k + 1, s + at[b[first] - 1] + k)
+    return i[first], i[last], core.view(np.int64)
 
-def _merge(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Union of equal-length ranges with sorted starts."""
-    if not len(starts):
-        return starts, starts
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length
 
+def _parsed(spec: Windows, ordered: bool, schema: pa.Schema):
+    """Each text with its groups; of a text without any, only the digest goes on."""
 
-def _open(spec: Windows, ordered: bool, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             data, offsets = A.utf8(batch.column("text"))
-            marks, links = A.Lists(batch.column("marks")), A.Lists(batch.column("links"))
-            owners = batch.column("ord").to_pylist() if ordered else [None] * len(batch)
-            out = {n: [None] * len(batch) for n in ("text", "digest", "n", "starts", "ends", "win", "f1", "f2")}
+            marks = A.Lists(batch.column("marks"))
+            owners = batch.column("ord").is_valid().to_pylist() if ordered else [True] * len(batch)
+            out = {n: [None] * len(batch) for n in ("text", "digest", "n", "i0", "i1", "core", "w1", "w2")}
             for lo, hi in A.slices(offsets):
-                if not marks.filled[lo:hi].any() and spec.kind == "bytes":
-                    parse = None
-                else:
+                parse = words = None
+                if spec.kind == "words" or marks.filled[lo:hi].any():
                     parse, words = spec.parse(data, offsets[lo : hi + 1])
-                    twin = A.RunHash(parse.units, A.BASES[1])
                 for r in range(lo, hi):
                     raw = data[offsets[r] : offsets[r + 1]]
-                    out["n"][r] = len(raw) if spec.kind == "bytes" else int(np.diff(words.bounds[r - lo : r - lo + 2])[0])
-                    sure = still = np.zeros(0, np.int64)
-                    if marks.filled[r] and not (ordered and owners[r] is None):
-                        sure, still = _settle(spec, parse, r - lo, marks.fields(r), links[r], owners[r])
-                    if len(sure) or len(still):
-                        out["text"][r] = raw.tobytes()
-                        out["starts"][r], out["ends"][r] = _merge(sure, spec.length)
-                        s = still + parse.starts[r - lo]
-                        out["win"][r] = still
-                        out["f1"][r] = parse.runs(s, s + spec.units).view(np.int64)
-                        out["f2"][r] = twin(s, s + spec.units).view(np.int64)
-                    else:
-                        out["digest"][r] = _digest(spec, raw, None if spec.kind == "bytes" else words, r - lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in schema], schema=schema
-            )
+                    out["n"][r] = len(raw) if words is None else int(words.bounds[r - lo + 1] - words.bounds[r - lo])
+                    groups = _groups(spec, parse, r - lo, marks.fields(r)) if marks.filled[r] and owners[r] else None
+                    if groups is None:
+                        kept = raw if words is None else b" ".join(raw.tobytes().split())
+                        out["digest"][r] = hashlib.sha256(kept).hexdigest()
+                        continue
+                    out["text"][r] = raw.tobytes()
+                    out["i0"][r], out["i1"][r], out["core"][r] = groups
+                    out["w1"][r], out["w2"][r] = _names(spec, parse, r - lo, groups[0], groups[1])
+            yield _batch(batch, out, schema)
 
     return run
 
 
-def _digest(spec: Windows, raw: np.ndarray, words: A.Words | None, t: int) -> str:
-    if spec.kind == "bytes":
-        return hashlib.sha256(raw).hexdigest()
-    return hashlib.sha256(b" ".join(raw.tobytes().split())).hexdigest()
+def _names(spec: Windows, parse: A.Parse, t: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of each range from window ``first`` to window ``last``."""
+    start, end = parse.starts[t] + first, parse.starts[t] + last + spec.units
+    if not hasattr(parse, "twin"):
+        parse.twin = A.RunHash(parse.units, A.BASES[1])
+    return parse.runs(start, end).view(np.int64), parse.twin(start, end).view(np.int64)
+
+
+def _batch(batch: pa.RecordBatch, out: dict, schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _windows(spec: Windows, schema: pa.Schema):
+    """Names of all windows of the groups to be looked at one by one."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = A.utf8(batch.column("text"))
+            asked = A.Lists(batch.column("asked"))
+            for lo, hi in A.slices(offsets):
+                parse, _ = spec.parse(data, offsets[lo : hi + 1])
+                for r in range(lo, hi):
+                    a = asked.fields(r)
+                    own = a["i1"] + spec.units <= parse.counts[r - lo]
+                    first, length = a["i0"][own].astype(np.int64), (a["i1"] - a["i0"] + 1)[own]
+                    w1, _ = _names(spec, parse, r - lo, first, first + length - 1)
+                    own = w1 == a["w1"][own]
+                    first, length = first[own], length[own]
+                    if not len(first):
+                        continue
+                    win = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                    out = dict(zip(("f1", "f2"), _names(spec, parse, r - lo, win, win)))
+                    out["win"] = win
+                    rows = pa.array(np.full(len(win), r))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).take(rows) for f in schema],
+                        schema=schema,
+                    )
+
+    return run
 
 
 def _finish(spec: Windows, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             get = {n: batch.column(n).to_pylist() for n in ("text", "digest", "n")}
-            lists = {n: A.Lists(batch.column(n)) for n in ("starts", "ends", "win", "f1", "found")}
+            settled, found, w1 = (A.Lists(batch.column(n)) for n in ("settled", "found", "w1"))
             out = {"spans": [], "kept": [], "kept_sha256": [], "n_removed": []}
             for r, raw in enumerate(get["text"]):
-                starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if raw is not None:
-                    n = get["n"][r]
-                    win, found = lists["win"][r], lists["found"].fields(r)
-                    own = A.pair_hash(lists["f1"][r], win)
-                    hit = win[np.isin(own, A.pair_hash(found["f1"], found["win"]))]
+                starts = ends = np.zeros(0, np.int64)
+                if raw is not None and (settled.filled[r] or found.filled[r]):
+                    s, f = settled.fields(r), found.fields(r)
+                    own = np.isin(s["w1"], w1[r])
+                    win = f["win"]
+                    if len(win):
+                        parse, _ = spec.parse(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                        win = win[win + spec.units <= parse.counts[0]]
+                        names, _ = _names(spec, parse, 0, win, win)
+                        win = win[np.isin(A.pair_hash(names, win), A.pair_hash(f["f1"], f["win"]))]
                     gone = A.cover(
-                        n, np.concatenate((lists["starts"][r], hit)), np.concatenate((lists["ends"][r], hit + spec.length))
+                        get["n"][r],
+                        np.concatenate((s["i0"][own], win)),
+                        np.concatenate((s["i1"][own], win)) + spec.length,
                     )
                     starts, ends = A.spans(gone)
+                if len(starts):
                     if spec.kind == "bytes":
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     else:
                         kept = b" ".join(w for w, g in zip(raw.split(), gone) if not g)
+                elif raw is not None:
+                    kept = raw if spec.kind == "bytes" else b" ".join(raw.split())
                 out["spans"].append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
                 out["n_removed"].append(int((ends - starts).sum()))
                 out["kept"].append(kept if len(starts) else None)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest() if raw is not None else get["digest"][r])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name) for f in schema], schema=schema
-            )
+            yield _batch(batch, out, schema)
 
     return run
 
 
-def _arrow(ddl: str, df: DataFrame, more: dict[str, str]) -> tuple[str, pa.Schema]:
+def _schema(columns: str, df: DataFrame, more: dict[str, str]) -> tuple[StructType, pa.Schema]:
     """Spark and Arrow schema of: the named columns of df, then new ones."""
-    old = [df.schema[c] for c in ddl.split() if c in df.columns]
+    old = [df.schema[c] for c in columns.split() if c in df.columns]
     new = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items()))
     schema = StructType(old + new.fields)
     return schema, to_arrow_schema(schema)
@@ -220,50 +238,45 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     (bytes or words), n_removed, spans, kept (bytes left; null if nothing was
     removed), kept_sha256.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, f"repeated-{spec.kind}")
-    docs = docs.select("id", "text", row_key("id", "text").alias("key"), *([F.col("id").alias("ord")] if ordered else []))
+    scratch = Scratch(docs.sparkSession, f"repeated-{spec.kind}")
+    rank = ["ord"] if ordered else []
+    docs = docs.select("id", "text", row_key("id", "text").alias("key"), *[F.col("id").alias(c) for c in rank])
 
-    schema, arrow = _arrow("key ord", docs, {"h": "long", "j": "int", "at": "int"})
+    schema, arrow = _schema("key ord", docs, {"h": "long", "j": "int", "at": "int"})
     anchors = scratch.write(docs.mapInArrow(_anchors(spec, arrow), schema), "anchors")
-    stats = [F.count("*").alias("n"), *([F.min("ord").alias("lo"), F.max("ord").alias("hi")] if ordered else [])]
+    counts = [F.min("ord").alias("lo"), F.max("ord").alias("hi")] if ordered else [F.count("*").alias("n")]
     again = F.col("lo") < F.col("hi") if ordered else F.col("n") > 1
-    dictionary = scratch.write(anchors.groupBy("h").agg(*stats).filter(again), "dictionary")
-
-    # the parse of each text in terms of the dictionary, and the links of its anchors
-    mark = F.struct("j", "at", "h", "n", *(["lo"] if ordered else []))
-    marks = scratch.write(
-        anchors.join(dictionary.drop("hi"), "h").groupBy("key").agg(F.array_sort(F.collect_set(mark)).alias("marks")), "marks"
-    )
+    dictionary = scratch.write(anchors.groupBy("h").agg(*counts).filter(again).select("h"), "dictionary")
+    marks = anchors.join(dictionary, "h").groupBy("key").agg(F.collect_set(F.struct("j", "at", "h")).alias("marks"))
+    marks = scratch.write(marks, "marks")
     scratch.drop(anchors, dictionary)
-    following = marks.filter("size(marks) > 1").select(
-        "key", F.explode(F.expr("arrays_zip(slice(marks, 1, size(marks) - 1), slice(marks, 2, size(marks) - 1))")).alias("p")
-    ).select("key", F.col("p.0").alias("x"), F.col("p.1").alias("y"))
-    following = following.filter("y.j = x.j + 1 and x.n = y.n").selectExpr(
-        "key", "x.j as j", "x.n as n", "xxhash64(x.h, y.h, y.at - x.at) as pair"
-    )
-    pairs = scratch.write(following.groupBy("pair", "n").count().filter("count = n").select("pair", "n"), "pairs")
-    links = following.join(pairs, ["pair", "n"]).groupBy("key").agg(F.collect_set("j").alias("links"))
-    parsed = scratch.write(marks.join(links, "key", "left"), "parsed")
-    scratch.drop(marks, pairs)
-
-    arrays = {"starts": "array<int>", "ends": "array<int>", "win": "array<int>", "f1": "array<long>", "f2": "array<long>"}
-    schema, arrow = _arrow("id key ord", docs, {"text": "binary", "digest": "string", "n": "long", **arrays})
-    work = scratch.write(docs.join(parsed, "key", "left").mapInArrow(_open(spec, ordered, arrow), schema), "work")
-    scratch.drop(parsed)
-
-    windows = work.filter("win is not null").select(
-        "key", *(["ord"] if ordered else []), F.explode(F.arrays_zip("win", "f1", "f2")).alias("w")
-    ).select("key", *(["ord"] if ordered else []), "w.*")
-    names = scratch.write(windows.groupBy("f1", "f2").agg(*stats).filter(again), "names")
-    found = windows.join(names.drop("n", "hi"), ["f1", "f2"])
-    if ordered:
-        found = found.filter("lo < ord")
-    found = scratch.write(found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found")), "found")
-    scratch.drop(names)
-
-    schema, arrow = _arrow(
-        "id n", work,
-        {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"},
-    )
-    return work.join(found, "key", "left").mapInArrow(_finish(spec, arrow), schema)
+
+    more = {n: "array<int>" for n in ("i0", "i1")} | {n: "array<long>" for n in ("core", "w1", "w2")}
+    schema, arrow = _schema("id key ord", docs, {"text": "binary", "digest": "string", "n": "long", **more})
+    work = scratch.write(docs.join(marks, "key", "left").mapInArrow(_parsed(spec, ordered, arrow), schema), "work")
+    scratch.drop(marks)
+
+    groups = work.filter("i0 is not null").select("key", *rank, F.explode(F.arrays_zip(*more)).alias("g")).select("key", *rank, "g.*")
+    whole = ["core", "w1", "w2"]
+    first = F.min(F.struct(*rank, "key", "i0", "i1")).alias("first")
+    wholes = scratch.write(groups.groupBy(*whole).agg(*(counts[:1] if ordered else counts), first), "wholes")
+    twice = groups.join(wholes.filter("true" if ordered else "n > 1").drop("first"), whole)
+    twice = twice.filter("lo < ord") if ordered else twice
+    settled = twice.groupBy("key").agg(F.collect_set(F.struct("i0", "i1", "w1")).alias("settled"))
+    open_cores = wholes.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
+    asked = wholes.join(open_cores, "core").select("first.key", "first.i0", "first.i1", "w1")
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("i0", "i1", "w1")).alias("asked"))
+
+    schema, arrow = _schema("key ord", work, {"win": "int", "f1": "long", "f2": "long"})
+    texts = work.filter("i0 is not null").select("key", *rank, F.col("text").cast("string"))
+    windows = scratch.write(texts.join(asked, "key").mapInArrow(_windows(spec, arrow), schema), "windows")
+    names = scratch.write(windows.groupBy("f1", "f2").agg(*counts).filter(again), "names")
+    found = windows.join(names, ["f1", "f2"])
+    found = found.filter("lo < ord") if ordered else found
+    found = found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
+    ends = scratch.write(settled.join(found, "key", "full"), "ends")
+    scratch.drop(wholes, windows, names)
+
+    more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
+    schema, arrow = _schema("id n", work, more)
+    return work.join(ends, "key", "left").mapInArrow(_finish(spec, arrow), schema)

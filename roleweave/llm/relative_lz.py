@@ -3,10 +3,10 @@
 Every text is cut at content-defined anchors; the block around each anchor is
 indexed with the smallest id that holds it, so the index covers all reference
 blocks of all earlier texts.  A text is factored greedily against the index: a
-factor begins at a block that an earlier text holds and takes in the next block
-for as long as that block follows in every place.  Windows inside a factor are
-duplicates.  Windows across factor boundaries, where the next block comes from
-another place, are checked one by one by their own names.
+factor takes in block after block for as long as the run of blocks reads the
+same in an earlier text.  Windows inside a factor are duplicates.  Windows
+across factor boundaries, where the blocks on both sides are indexed but their
+run is not, are checked one by one by their own names.
 """
 
 from __future__ import annotations

@@ -7,9 +7,9 @@ suffixes to bring equal suffixes next to each other in corpus order, ranks are
 replaced by names here (Karp, Miller and Rosenberg): the operator asks which
 suffixes agree on their first ``length`` bytes, which needs equal names for
 equal prefixes but no order among different ones, and names can be made by a
-hash partition instead of a global sort.  A parse suffix is settled by chains
-of phrases that read the same wherever they occur; the suffixes of phrases at
-the ends of chains are named by their first ``length`` bytes.
+hash partition instead of a global sort.  A run of parse suffixes is named and
+settled as a whole where it reads the same in two places; the suffixes of
+phrases at the ends of repeats are named by their first ``length`` bytes.
 """
 
 from __future__ import annotations
