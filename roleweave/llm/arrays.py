@@ -74,17 +74,22 @@ def inverse(base: np.uint64) -> np.uint64:
 
 
 class Words:
-    """Words of some texts: first byte, end, hash, and the range of words of each text."""
+    """Words of some texts: first byte, end, hash, and the range of words of each text.
+
+    ``kind`` tells for each byte which kind of word it belongs to, 0 or false for none.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, fold: np.ndarray = AS_IS):
         base = offsets[0]
         data, offsets = fold[data[base : offsets[-1]]], offsets - base
-        inside = kind[data]
+        kinds = kind[data]
+        inside = kinds.view(np.uint8) > 0
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1] | edge[1:-1]
-        last[:-1] &= ~inside[1:] | edge[1:-1]
+        change = (kinds[1:] != kinds[:-1]) | edge[1:-1]
+        first[1:] &= change
+        last[:-1] &= change
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.data, self.offsets = data, offsets

@@ -279,4 +279,5 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
 
     more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
     schema, arrow = _schema("id n", work, more)
-    return work.join(ends, "key", "left").mapInArrow(_finish(spec, arrow), schema)
+    last = work.select("id", "key", "n", "text", "digest", "w1").join(ends, "key", "left")
+    return last.mapInArrow(_finish(spec, arrow), schema)

@@ -1,4 +1,4 @@
 """Loads the modules that register this folder's queries."""
 
-from . import relative_lz, suffix_dedup  # noqa: F401
+from . import chat, decontaminate, minhash, relative_lz, suffix_dedup  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
