@@ -1,4 +1,15 @@
 """Loads the modules that register this folder's queries."""
 
-from . import chat, decontaminate, minhash, relative_lz, suffix_dedup  # noqa: F401
+from . import (  # noqa: F401
+    chat,
+    decontaminate,
+    licenses,
+    line_dedup,
+    minhash,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    relative_lz,
+    suffix_dedup,
+)
 from .base import ORACLES, QUERIES  # noqa: F401
