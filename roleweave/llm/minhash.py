@@ -7,9 +7,10 @@ candidates; the share of equal low bits, counted on packed words and corrected
 for chance meetings, sorts out most; the rest are confirmed on full sets.
 
 Groups stay linear.  Members of a bucket are first compared with its least
-member only.  Members that this leaves in different components are compared
-within their buckets, in blocks, by signatures; pairs inside one component
-are never formed.
+member only.  Where that leaves the members around one least member in different
+components, they are compared with each other, in blocks, by signatures and then
+by full sets; a block gives out only links that join components.  Pairs inside
+one component are never formed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from .components import components
 
 BITS = 4
 NIBBLE = 0x1111111111111111
-BLOCK = 2048
+BLOCK = 400_000  # shingles of a block
+COLUMNS = 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,24 +108,66 @@ def _sets(n: int):
     return run
 
 
-def _cross(least: float):
-    """Pairs of a bucket's block, or of two blocks, in different components and alike enough by their low bits."""
+def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the named pairs: one by one, or, for many pairs, by products of incidence matrices."""
+    if len(pairs) < 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs], np.int64)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    grid = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[a:b], column[a:b] - lo] = 1
+        grid += x @ x.T
+    return grid[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def _across(least: float, percent: int):
+    """Links between different components in a block of a group, or between two blocks; those that join components only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(A.U)
         comp, c, block = (pdf[n].to_numpy() for n in ("comp", "c", "block"))
-        left, right = [], []
+        one = pdf["b1"].iat[0] == pdf["b2"].iat[0]
+        found = []
         for i in range(len(pdf)):
-            other = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (pdf["b1"].iat[0] == pdf["b2"].iat[0]))) + i + 1
+            other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (one | (block[i + 1 :] != block[i]))) + i + 1
             x = sig[other] ^ sig[i]
             x |= x >> A.U(1)
             x |= x >> A.U(2)
             equal = 1 - np.bitwise_count(x & A.U(NIBBLE)).sum(1) / (sig.shape[1] * 64 // BITS)
             other = other[(equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least]
-            left.append(np.full(len(other), c[i]))
-            right.append(c[other])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).astype("int64")
+            found.append(np.stack([np.full(len(other), i), other], 1))
+        pairs = np.concatenate(found)
+        sets = [np.asarray(x, np.int64) for x in pdf["set"]]
+        n = np.array([len(x) for x in sets])
+        fits = 100 * np.minimum(n[pairs[:, 0]], n[pairs[:, 1]]) >= percent * np.maximum(n[pairs[:, 0]], n[pairs[:, 1]])
+        pairs = pairs[fits]
+        both = _intersections(sets, pairs) if len(pairs) else np.zeros(0, np.int64)
+        links = pairs[100 * both >= percent * (n[pairs[:, 0]] + n[pairs[:, 1]] - both)]
+        up = {x: x for x in comp}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        joined = []
+        for i, j in links:
+            x, y = top(comp[i]), top(comp[j])
+            if x != y:
+                up[x] = y
+                joined.append((c[i], c[j]))
+        return pd.DataFrame(joined, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -188,37 +232,38 @@ def near_duplicate_groups(
     star = members.filter("c <> b").select(F.col("c").alias("a"), "b").distinct()
 
     about = classes.select("c", "n", "sig")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_alike("sa", "sb", words) >= least)
-        return scratch.write(pairs.filter(fits).select("a", "b", "na", "nb"), "pairs")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        of = classes.join(asked, "c").select("c", "key")
-        sets = docs.select("key", "text").join(of, "key").dropDuplicates(["c"]).select("c", "text").mapInArrow(_sets(shingle), "c long, set array<long>")
-        sets = scratch.write(sets, "sets")
-        both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("i"))
-        links = scratch.write(both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
-        scratch.drop(sets)
-        return links
-
-    links = confirmed(plausible(star))
+    pairs = star.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_alike("sa", "sb", words) >= least)
+    pairs = scratch.write(pairs.filter(fits).select("a", "b", "na", "nb"), "pairs")
+
+    def full(asked: DataFrame) -> DataFrame:
+        of = classes.join(asked.distinct(), "c").select("c", "key")
+        texts = docs.select("key", "text").join(of, "key").dropDuplicates(["c"]).select("c", "text")
+        return scratch.write(texts.mapInArrow(_sets(shingle), "c long, set array<long>"), "sets")
+
+    sets = full(pairs.select(F.col("a").alias("c")).union(pairs.select("b")))
+    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("i"))
+    links = both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    links = scratch.write(links, "links")
+    scratch.drop(sets)
     roots = scratch.write(components(links, scratch), "roots")
 
     # what the stars leave apart
-    placed = members.filter("m > 2").join(roots.toDF("c", "root"), "c", "left").withColumn("comp", F.coalesce("root", "c"))
-    placed = scratch.write(placed.select("band", "c", "m", "comp"), "placed")
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_rows = placed.join(mixed, "band").join(classes.select("c", "sig"), "c")
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int"))
-    open_rows = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.withColumn("b1", F.least("block", "o")).withColumn("b2", F.greatest("block", "o"))
-    more = open_rows.groupBy("band", "b1", "b2").applyInPandas(_cross(least), "a long, b long").distinct()
-    more = confirmed(plausible(more.join(star, ["a", "b"], "left_anti")))
+    around = star.select("b", F.col("a").alias("c")).union(star.select("b", F.col("b").alias("c")).distinct())
+    around = around.join(roots.toDF("c", "root"), "c", "left").join(about, "c").withColumn("comp", F.coalesce("root", "c"))
+    around = scratch.write(around.drop("root"), "around")
+    mixed = around.groupBy("b").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
+    )
+    mixed = scratch.write(mixed.filter("lo < hi and m > 2").select("b", "blocks"), "mixed")
+    open_rows = around.join(mixed, "b")
+    sets = full(open_rows.select("c"))
+    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    open_rows = open_rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "c")
+    open_rows = open_rows.select("b", "c", "comp", "sig", "set", "block", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"))
+    more = scratch.write(open_rows.groupBy("b", "b1", "b2").applyInPandas(_across(least, percent), "a long, b long"), "more")
+    scratch.drop(sets)
     roots = scratch.write(components(links.union(more), scratch), "roots")
 
     of_class = classes.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
