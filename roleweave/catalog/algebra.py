@@ -199,7 +199,7 @@ def point_deflections(spark, d):
 hit AS (SELECT w.doc_id, l.e, l.p, l.a FROM words w JOIN lex l ON l.term = w.w)
 SELECT doc_id, round(avg(e), 5) AS e, round(avg(p), 5) AS p, round(avg(a), 5) AS a FROM hit GROUP BY doc_id""")
 def averaged_entities(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("\\pL+"), F.lit(0))
     docs = frames.table(spark, d, "documents").select("doc_id", words.alias("ws"))
     values = frames.lexicon(spark, d).select(F.col("term").alias("entity"), "e", "p", "a")
     out = co.average_terms(docs, "doc_id", "ws", values)

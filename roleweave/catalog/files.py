@@ -105,7 +105,7 @@ def equation_blocks_applied(spark, d):
 def unit_texts(spark, d):
     """Documents with their identities as units: user = source."""
     ids = doc_mentions(spark, d).groupBy("doc_id").agg(F.sort_array(F.collect_set("identity")).alias("identities"))
-    clean = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    clean = F.trim(F.regexp_replace("text", "[^\\pL]+", " "))
     docs = frames.table(spark, d, "documents").select("doc_id", F.col("source").alias("user_id"), clean.alias("text"))
     split = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")
     none = F.array().cast("array<string>")
@@ -114,7 +114,7 @@ def unit_texts(spark, d):
 
 TEXT_SQL = L + """,
 mi AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, count(DISTINCT id) AS n FROM words JOIN idents ON term = w GROUP BY 1),
-un AS (SELECT doc_id, source AS user_id, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS text, ids, n, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents LEFT JOIN mi USING (doc_id))"""
+un AS (SELECT doc_id, source AS user_id, trim(regexp_replace(text, '[^\\pL]+', ' ', 'g')) AS text, ids, n, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents LEFT JOIN mi USING (doc_id))"""
 
 
 @proof("unit_text_file", "S8 S15 U6 X17", TEXT_SQL + " SELECT user_id, unnest(string_split(ids, ',')) AS id, md5(text) AS text FROM un WHERE split = 'train' AND n > 0")

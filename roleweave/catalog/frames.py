@@ -43,16 +43,16 @@ def kept(key: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """(doc_id, ..., i, w): lower-case ASCII words of every document, i from 1."""
+    """(doc_id, ..., i, w): lower-case words of every document, i from 1."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", *cols], wide=True)
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("\\pL+"), F.lit(0))
     rows = docs.select("doc_id", *cols, F.posexplode(found).alias("i0", "w"))
     return rows.select("doc_id", *cols, (F.col("i0") + 1).alias("i"), "w")
 
 
 WORDS_SQL = """words AS (
   SELECT doc_id, source, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
-  FROM (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents))"""
+  FROM (SELECT doc_id, source, lang, regexp_extract_all(lower(text), '\\pL+') AS ws FROM documents))"""
 
 COUNTS_SQL = WORDS_SQL + """,
 counts AS (SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs,

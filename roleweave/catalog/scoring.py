@@ -50,7 +50,7 @@ def smoothed_user_multinomial(spark, d):
     return rounded(v, ["p"], 9)
 
 
-@proof("global_heldout_loglik", "E1", "WITH " + BRAND_SQL + " SELECT round(sum(te * ln(p)), 3) AS log_lik, CAST(sum(te) AS BIGINT) AS n_obs FROM grid JOIN gl USING (idx) WHERE te > 0 AND p > 0")
+@proof("global_heldout_loglik", "E1", "WITH " + BRAND_SQL + " SELECT round(sum(CASE WHEN p > 0 THEN te * ln(p) END), 3) AS log_lik, CAST(sum(te) AS BIGINT) AS n_obs, CAST(sum(CASE WHEN p > 0 THEN 0 ELSE te END) AS BIGINT) AS n_missed FROM grid LEFT JOIN gl USING (idx) WHERE te > 0")
 def global_heldout_loglik(spark, d):
     counts, _ = brand_counts(spark, d)
     model = predict.global_multinomial(counts.where("split = 'train'"))

@@ -193,9 +193,9 @@ def plural_forms(spark, d):
 
 @proof("unit_texts", "X7", """
 SELECT doc_id, replace(replace(replace(replace(array_to_string(toks, ' '), ' .', '.'), ' ,', ','), ' ;', ';'), ' !', '!') AS line
-FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[.,;!]') AS toks FROM documents) WHERE len(toks) > 0""")
+FROM (SELECT doc_id, regexp_extract_all(text, '\\pL+|[.,;!]') AS toks FROM documents) WHERE len(toks) > 0""")
 def unit_texts(spark, d):
-    toks = F.regexp_extract_all("text", F.lit("[A-Za-z]+|[.,;!]"), F.lit(0))
+    toks = F.regexp_extract_all("text", F.lit("\\pL+|[.,;!]"), F.lit(0))
     docs = frames.table(spark, d, "documents").select("doc_id", toks.alias("t")).where(F.size("t") > 0)
     return docs.select("doc_id", fx.unit_text(F.col("t")).alias("line"))
 

@@ -155,8 +155,13 @@ def match_lexicon(tokens: DataFrame, matched: DataFrame, out: str = "forms") ->
 # -- phrases ----------------------------------------------------------------
 
 
-def phrase_spans(tokens: DataFrame, phrases: DataFrame, max_len: int = 4) -> DataFrame:
-    """Accepted spans ``(unit, start, len)``: longest at a start, leftmost first."""
+def phrase_spans(tokens: DataFrame, phrases: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Accepted spans ``(unit, start, len)``: longest at a start, leftmost first.
+
+    ``max_len`` is the word count of the longest entry, measured if not given.
+    """
+    if max_len is None:
+        max_len = phrases.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 2
     w = Window.partitionBy(UNIT).orderBy("id")
     text = F.lower("form")
     grams = []
@@ -182,7 +187,7 @@ def phrase_spans(tokens: DataFrame, phrases: DataFrame, max_len: int = 4) -> Dat
     return per_unit.select(UNIT, F.explode(greedy).alias("s")).select(UNIT, F.col("s.id").alias("start"), F.col("s.len").alias("len"))
 
 
-def merge_phrases(tokens: DataFrame, phrases: DataFrame, max_len: int = 4) -> DataFrame:
+def merge_phrases(tokens: DataFrame, phrases: DataFrame, max_len: int | None = None) -> DataFrame:
     """Merge phrase entries into one token and renumber ids and heads from 1.
 
     The merged head is that of the first part whose head lies outside it.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,12 +72,13 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return edges.join(keep, "src", "left_semi")
 
 
-def communities(edges: DataFrame, passes: int = 10) -> DataFrame:
+def communities(edges: DataFrame, passes: int = 100) -> DataFrame:
     """(vertex, community) by weighted local moves that raise modularity.
 
     In each pass half of the vertices (by hash and pass number) may move to the
     neighbouring community of largest gain, if it beats their own; ties go to
-    the smallest label.
+    the smallest label.  Ends when neither half moves; a warning says so if
+    ``passes`` did not suffice.
     """
     links = materialize(both_ways(edges), "links")
     strength = materialize(links.groupBy(F.col("src").alias("vertex")).agg(F.sum("weight").alias("k")), "strength")
@@ -103,22 +106,27 @@ def communities(edges: DataFrame, passes: int = 10) -> DataFrame:
         if still and turn and quiet:
             break
         quiet = still
+    else:
+        warnings.warn(f"communities still moved after {passes} passes", stacklevel=2)
     return labels
 
 
-def betweenness(edges: DataFrame, weighted: bool = True, max_rounds: int = 10_000) -> DataFrame:
+def betweenness(edges: DataFrame, weighted: bool = True) -> DataFrame:
     """(vertex, betweenness) of an undirected network; weights are distances.
 
     All sources at once, as joins: distances by relaxing until nothing changes,
     path counts hop by hop along tight edges, then dependencies back along the
-    same edges.  No side is assumed small.
+    same edges.  No side is assumed small.  Weights must be positive, so that
+    relaxing ends after as many rounds as there are vertices, at most.
     """
     w = F.col("weight") if weighted else F.lit(1.0)
     links = materialize(both_ways(edges.select("src", "dst", w.cast("double").alias("weight"))), "links")
+    if not links.where(~(F.col("weight") > 0)).isEmpty():
+        raise ValueError("weights must be positive")
     verts = links.select(F.col("src").alias("v")).distinct()
     dist = materialize(verts.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("d")), "dist")
     front = dist
-    for _ in range(max_rounds):
+    while True:
         step = front.join(links, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("weight")).alias("_n"))
         # Only strict improvements beyond rounding go on.
         better = step.join(dist, ["s", "v"], "left").where(F.col("d").isNull() | (F.col("_n") < F.col("d") - 1e-12))

@@ -13,9 +13,19 @@ from . import pointfit, predict
 
 
 def assoc_heldout_loglik(test: DataFrame, model: DataFrame) -> DataFrame:
-    """Sum of n_test * log p over all mentions of a global multinomial."""
-    joined = test.join(model, "idx")
-    return joined.agg(F.sum(F.col("n") * F.log("p")).alias("log_lik"), F.sum("n").alias("n_obs"))
+    """Sum of n_test * log p over all mentions of a global multinomial.
+
+    Mentions of identities that the model has no probability for (unseen in
+    training, or p = 0) add nothing to the sum; ``n_obs`` counts them too and
+    ``n_missed`` says how many they are.
+    """
+    joined = test.join(model, "idx", "left")
+    known = F.col("p") > 0
+    return joined.agg(
+        F.sum(F.when(known, F.col("n") * F.log("p"))).alias("log_lik"),
+        F.sum("n").alias("n_obs"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_missed"),
+    )
 
 
 def user_loglik(vectors: DataFrame, p: str = "p", test: str = "test") -> DataFrame:
