@@ -141,7 +141,8 @@ def remove_shared_lines(
     found = found.filter("size(blocks) > 0").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("_removed"))
     found = scratch.write(found, "found")
     scratch.drop(holders, pairs)
-    out = keyed.join(found.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    # shuffled at every size, so that a small run plans as a large one does
+    out = keyed.join(found.withColumnRenamed("key", "_key").hint("merge"), "_key", "left").drop("_key")
     kept = F.filter(
         F.split(text, "\n"), lambda x, i: ~F.exists("_removed", lambda b: (i >= b["lo"]) & (i < b["hi"]))
     )
