@@ -236,3 +236,36 @@ def matched_sql(unknown_only: bool = False) -> str:
             ",\ntok AS (", ",\nidents AS (SELECT * FROM every WHERE term NOT IN (SELECT term FROM lex)),\ntok AS (", 1
         )
     return sql
+
+
+# Letters that stand for emoji, with their values; emoticons are the lexicon's
+# words of three letters and hashtags those of five.
+STAND_IN_EMOJI = {"é": 1.75, "ü": -2.25, "ß": -0.5, "ñ": 2.5, "ç": -1.25, "ö": 0.75}
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the symbols of tokens that are no mentions."""
+
+    def build():
+        lex = lexicon(spark, sf_dir)
+        emoji = spark.createDataFrame(list(STAND_IN_EMOJI.items()), "symbol string, value double")
+        emoticons = lex.where("length(term) = 3").select(F.col("term").alias("symbol"), F.col("e").alias("value"))
+        free = matched_tokens(spark, sf_dir).where("not mention").select("unit_id", "id", "form", "lemma", "pos")
+        pattern = "[" + "".join(STAND_IN_EMOJI) + "]"
+        return matching.symbol_values(free, pattern, emoji, emoticons, lex.where("length(term) = 5"))
+
+    return kept("symbols", spark, sf_dir, build)
+
+
+def _symbol_ladder_sql(length: int) -> str:
+    lexicon = f"(SELECT * FROM lex WHERE length(term) = {length})"
+    ladder = ladder_sql(lexicon).replace("FROM tok t", "FROM (SELECT * FROM men WHERE NOT mention) t")
+    return f"(SELECT x.unit_id, x.id, l.e, l.p, l.a FROM {ladder} x JOIN lex l USING (term))"
+
+
+SYMBOLS_SQL = f"""sym AS (
+  SELECT unit_id, id, 'emoji' AS source, CASE s {" ".join(f"WHEN '{k}' THEN {v}" for k, v in STAND_IN_EMOJI.items())} END AS e,
+    CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS a
+  FROM (SELECT unit_id, id, unnest(regexp_extract_all(form, '[{"".join(STAND_IN_EMOJI)}]')) AS s FROM men WHERE NOT mention)
+  UNION ALL SELECT unit_id, id, 'emoticon', e, NULL, NULL FROM {_symbol_ladder_sql(3)}
+  UNION ALL SELECT unit_id, id, 'hashtag', e, p, a FROM {_symbol_ladder_sql(5)})"""

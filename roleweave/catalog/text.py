@@ -254,15 +254,10 @@ def symbol_hits(spark, d):
     return agg.select(F.col("unit_id").alias("doc_id"), "symbol", "n", F.round(F.col("n") * F.col("value"), 4).alias("value"))
 
 
-@proof("symbol_sources", "T15 S5", M + """,
-tagged AS (SELECT m.unit_id, m.id, m.form, l.e, l.p, l.a FROM men m JOIN lex l ON l.term = m.form WHERE NOT m.mention)
-SELECT unit_id, id, 'hashtag' AS source, round(e, 4) AS e, round(p, 4) AS p, round(a, 4) AS a FROM tagged
-UNION ALL SELECT unit_id, id, 'emoticon', round(e, 4), NULL, NULL FROM tagged WHERE length(form) = 3""")
+@proof("symbol_sources", "T15 S5 T1", M + ",\n" + frames.SYMBOLS_SQL + """
+SELECT unit_id, id, source, round(e, 4) AS e, round(p, 4) AS p, round(a, 4) AS a FROM sym""")
 def symbol_sources(spark, d):
-    t = frames.matched_tokens(spark, d).where("not mention").select("unit_id", "id", "form")
-    lex = frames.lexicon(spark, d)
-    emoticons = lex.where("length(term) = 3").select(F.col("term").alias("symbol"), F.col("e").alias("value"))
-    hits = matching.symbol_values(t, None, None, emoticons, lex.select("term", "e", "p", "a"))
+    hits = frames.symbols(spark, d)
     return hits.select("unit_id", "id", "source", *[F.round(c, 4).alias(c) for c in "epa"])
 
 

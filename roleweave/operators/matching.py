@@ -279,19 +279,24 @@ def negated(tokens: DataFrame, with_children: bool = False, out: str = "negated"
 def symbol_values(tokens: DataFrame, pattern: str | None, emoji: DataFrame | None, emoticons: DataFrame | None, hashtags: DataFrame | None) -> DataFrame:
     """Values of emoji, emoticons and hashtags: ``unit, id, source, e, p, a``.
 
-    Give tokens that are not mentions.  Emoji and emoticons carry an e only.
+    Give tokens that are not mentions.  Emoji are found inside a token by
+    ``pattern``; emoticons and hashtags by the ladder of ``match_vocabulary``.
+    Emoji and emoticons (``symbol, value``) carry an e only.
     """
     none = F.lit(None).cast("double")
     frames = []
+
+    def lookup(entries: DataFrame, source: str) -> DataFrame:
+        found = match_lexicon(tokens, match_vocabulary(vocabulary(tokens), entries), "_forms")
+        return found.select(UNIT, "id", F.explode("_forms").alias("f")).select(UNIT, "id", F.lit(source).alias("source"), "f.e", "f.p", "f.a")
+
     if emoji is not None:
         hits = tokens.select(UNIT, "id", F.explode(F.regexp_extract_all("form", F.lit(pattern), F.lit(0))).alias("symbol"))
         frames.append(hits.join(emoji, "symbol").select(UNIT, "id", F.lit("emoji").alias("source"), F.col("value").alias("e"), none.alias("p"), none.alias("a")))
     if emoticons is not None:
-        hits = tokens.select(UNIT, "id", F.lower("form").alias("symbol"))
-        frames.append(hits.join(emoticons, "symbol").select(UNIT, "id", F.lit("emoticon").alias("source"), F.col("value").alias("e"), none.alias("p"), none.alias("a")))
+        frames.append(lookup(emoticons.select(F.col("symbol").alias("term"), F.col("value").alias("e"), none.alias("p"), none.alias("a")), "emoticon"))
     if hashtags is not None:
-        hits = tokens.select(UNIT, "id", F.lower("form").alias("term"))
-        frames.append(hits.join(hashtags, "term").select(UNIT, "id", F.lit("hashtag").alias("source"), "e", "p", "a"))
+        frames.append(lookup(hashtags.select("term", "e", "p", "a"), "hashtag"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -116,25 +116,37 @@ def toy_model(constraints: DataFrame, split: DataFrame, base: Column, size: Colu
 
 
 def config_ablation(
-    frames: DataFrame, split: DataFrame, base: Column, size: Column, configs: dict[str, cs.ConstraintConfig] = cs.ABLATION
+    frames: DataFrame,
+    split: DataFrame,
+    base: Column,
+    size: Column,
+    configs: dict[str, cs.ConstraintConfig] = cs.ABLATION,
+    symbols: DataFrame | None = None,
+    scores: DataFrame | None = None,
+    min_units: int = 30,
 ) -> DataFrame:
     """Scoreboard of the toy model per constraint configuration.
 
-    Every held-out mention counts; those without a usable constraint get the
-    uniform fallback.
+    Users of fewer than ``min_units`` units are left out.  Every held-out
+    mention counts; those without a usable constraint get the uniform
+    fallback.  Names of equal configurations share one run.
     """
+    users = split.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_units).select("user_id")
+    frames, split = frames.join(users, "user_id", "left_semi"), split.join(users, "user_id", "left_semi")
     mentions = frames.select(
         "unit_id", "user_id",
         F.explode(F.array_distinct(F.transform(F.flatten(F.transform(F.filter("nodes", lambda n: n["mention"]), lambda n: n["idf"])), lambda f: f["idx"]))).alias("target"),
     ).join(split.where("split = 'test'").select("unit_id"), "unit_id", "left_semi")
-    out = None
+    names: dict[cs.ConstraintConfig, list[str]] = {}
     for name, config in configs.items():
-        scored = toy_model(cs.build_constraints(frames, config), split, base, size)
-        rows = mentions.join(scored.drop("model"), ["unit_id", "user_id", "target"], "left")
-        rows = fallback_uniform(rows, size).withColumn("config", F.lit(name))
-        board = rows.groupBy("config").agg(
+        names.setdefault(config, []).append(name)
+    out = None
+    for config, equal in names.items():
+        scored = toy_model(cs.build_constraints(frames, config, symbols, scores), split, base, size)
+        rows = fallback_uniform(mentions.join(scored.drop("model"), ["unit_id", "user_id", "target"], "left"), size)
+        board = rows.agg(
             F.avg("log_prob").alias("log_prob"), F.avg(F.when(F.col("covered"), F.col("rank"))).alias("mean_rank"),
             F.count_if("covered").alias("n_covered"), F.count("*").alias("n_obs"), F.countDistinct("user_id").alias("n_users"),
-        )
+        ).select(F.explode(F.array(*map(F.lit, equal))).alias("config"), "*")
         out = board if out is None else out.unionByName(board)
     return out

@@ -173,7 +173,7 @@ EVERY = cs.ConstraintConfig(isa=True, parent_child=True, clause=True)
 
 
 def build(spark, words, config=EVERY):
-    rows = cs.build_constraints(cs.unit_frames(sentence(spark, words)), config).orderBy("mention_id", "stage", "sub").collect()
+    rows = cs.build_constraints(cs.unit_frames(sentence(spark, words)), config).orderBy("mention_id", "phase", "stage", "part", "sub").collect()
     return [(r["kind"], r["negated"], " ".join(f"{o['role']}:{o['entity']}" for o in r["operands"])) for r in rows]
 
 
@@ -237,3 +237,35 @@ def test_switched_off_kinds_do_not_block(spark):
     words = [("teacher", "N", 2), ("instruct", "V", 0), ("student", "N", 2)]
     kinds = [k for k, *_ in build(spark, words, cs.ConstraintConfig(events=False, behaviours=True, clause=True))]
     assert kinds == ["behaviour", "behaviour"]
+
+
+def test_every_sentence_switch_changes_rows(spark):
+    frames = cs.unit_frames(sentence(spark, [("teacher", "N", 0), ("cocky", "A", 1), ("not", "A", 1)]))
+    symbols = spark.createDataFrame(
+        [(1, 2, "emoji", 1.5, None, None), (1, 2, "emoticon", -2.5, None, None), (1, 3, "hashtag", 3.5, 0.5, -0.25)],
+        "unit_id long, id int, source string, e double, p double, a double",
+    )
+    scores = spark.createDataFrame([(1, 0.75)], "unit_id long, e double")
+    off = dict(events=False, behaviours=False, clause=False, emoji=False)
+
+    def points(**on):
+        rows = cs.build_constraints(frames, cs.ConstraintConfig(**{**off, **on}), symbols, scores).collect()
+        return [(r["kind"], r["operands"][0]["entity"], r["pe"], r["pp"], r["pa"]) for r in rows]
+
+    assert points(emoji=True) == [("sentence", "i_0", 1.5, None, None)]
+    assert points(emoticons=True) == [("sentence", "i_0", -2.5, None, None)]
+    assert points(hashtags=True) == [("sentence", "i_0", 3.5, 0.5, -0.25)]
+    assert points(lexicon_score=True) == [("sentence", "i_0", 0.75, None, None)]
+    assert points(own_words=True) == [("sentence", "i_0", *WORDS["cocky"])]
+    assert points(emoji=True, emoticons=True, lexicon_score=True) == [("sentence", "i_0", -2.5, None, None)]
+    with pytest.raises(ValueError):
+        points()
+
+
+def test_token_ids_above_a_million(spark):
+    words = [("teacher", "N", 2), ("instruct", "V", 0), ("student", "N", 2)]
+    near = build(spark, words)
+    assert [k for k, *_ in near] == ["event"]
+    # Pairs of ids far apart in size stay different pairs.
+    far = spark.range(1).select(F.arrays_overlap(cs._pairs(F.lit(1), F.lit(1_000_002)), cs._pairs(F.lit(2), F.lit(2))).alias("x"))
+    assert far.first()["x"] is False
