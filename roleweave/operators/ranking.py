@@ -14,46 +14,25 @@ from pyspark.sql import functions as F
 BINS = 1024
 
 
-# A key with more rows than this is ranked bucket by bucket.
-HOT_ROWS = 1_000_000
-
-
 def bucketed_row_number(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    bucket: Column,
-    out: str = "rn",
-    total: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "rn", total: str | None = None
 ) -> DataFrame:
-    """1-based rank per ``keys`` (not null) by ``order``, and the key's row count.
+    """1-based rank per ``keys`` by ``order``, and the key's row count.
 
-    Keys of ordinary size take a plain window.  Hot keys, of which there are at
-    most rows / ``hot_rows``, are cut by ``bucket``, which must not decrease
-    along ``order``: only one bucket's rows are sorted together.
+    ``bucket`` must not decrease along ``order``: only one bucket's rows are
+    sorted together, and bucket counts, which are small, give its offset.  Null
+    keys are a key like any other.
     """
-    if not keys:
-        return _by_buckets(df, keys, order, bucket, out, total)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    w = Window.partitionBy(*keys)
-    cold = df.join(hot, keys, "left_anti").withColumn(out, F.row_number().over(w.orderBy(*order)).cast("long"))
-    if total:
-        cold = cold.withColumn(total, F.count("*").over(w))
-    return cold.unionByName(_by_buckets(df.join(hot, keys, "left_semi"), keys, order, bucket, out, total))
-
-
-def _by_buckets(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str, total: str | None) -> DataFrame:
-    """Rank within buckets plus the rows of earlier buckets; bucket counts are small."""
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct as the key: equal with null fields, and the join reuses the window's shuffle.
+    tagged = df.withColumn("_group", F.struct(*keys, bucket.alias("_bucket")))
+    counts = tagged.groupBy("_group").agg(F.count("*").alias("_n"))
+    key = [F.col(f"_group.`{k}`") for k in keys]
+    before = Window.partitionBy(*key).orderBy("_group._bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.sum("_n").over(Window.partitionBy(*key)).alias("_total")
     )
-    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
-    ranked = local.join(offsets, [*keys, "_bucket"])
+    local = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
+    ranked = local.join(offsets, "_group")
     cols = [*df.columns, (F.col("_offset") + F.col("_rn")).alias(out)]
     if total:
         cols.append(F.col("_total").alias(total))

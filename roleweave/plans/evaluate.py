@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import coefficients as co
 from ..operators import constraints as cs
 from ..operators.aggregates import shrunk_mean
+from ..operators.filters import filter_min_units
 from ..session import materialize
 from . import pointfit, predict
 
@@ -131,8 +132,8 @@ def config_ablation(
     mention counts; those without a usable constraint get the uniform
     fallback.  Names of equal configurations share one run.
     """
-    users = split.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_units).select("user_id")
-    frames, split = frames.join(users, "user_id", "left_semi"), split.join(users, "user_id", "left_semi")
+    split = filter_min_units(split, min_units)
+    frames = frames.join(split.select("unit_id"), "unit_id", "left_semi")
     mentions = frames.select(
         "unit_id", "user_id",
         F.explode(F.array_distinct(F.transform(F.flatten(F.transform(F.filter("nodes", lambda n: n["mention"]), lambda n: n["idf"])), lambda f: f["idx"]))).alias("target"),

@@ -59,12 +59,24 @@ def test_masking_and_text(spark):
 
 def test_rank_under_a_hot_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(-1).alias("user_id"), "id")
-    got = ranking.bucketed_row_number(df, ["user_id"], ["id"], F.floor(F.col("id") / 100), "rn", "n", hot_rows=200).toPandas()
+    got = ranking.bucketed_row_number(df, ["user_id"], ["id"], F.floor(F.col("id") / 100), "rn", "n").toPandas()
     want = got.sort_values("id").groupby("user_id").cumcount() + 1
     assert (got.sort_values("id")["rn"].to_numpy() == want.to_numpy()).all()
     assert (got.groupby("user_id")["n"].first() == got.groupby("user_id").size()).all()
 
 
+def test_rank_of_null_keys_and_plan(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("user_id"), "id")
+    ranked = ranking.bucketed_row_number(df, ["user_id"], ["id"], F.when(F.col("id") >= 50, F.floor(F.col("id") / 100)), "rn", "n")
+    got = ranked.toPandas().sort_values("id")
+    assert len(got) == 500
+    want = got.groupby("user_id", dropna=False).cumcount() + 1
+    assert (got["rn"].to_numpy() == want.to_numpy()).all()
+    assert set(got[got["user_id"].isna()]["n"]) == {250}
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 500") == 2
+
+
 def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.lognormal(size=999), np.full(400, 0.5)])
