@@ -96,24 +96,30 @@ def recovery_check(true: DataFrame, inferred: DataFrame, key: str = "idx") -> Da
     return both.agg(F.corr("true_value", "inferred").alias("r"), F.avg(F.abs(F.col("true_value") - F.col("inferred"))).alias("mae"))
 
 
-def toy_model(constraints: DataFrame, split: DataFrame, base: Column, size: Column) -> DataFrame:
-    """Fit on training units, score held-out mentions: (unit_id, user_id, target, log_prob, rank, covered).
+def toy_model(constraints: DataFrame, split: DataFrame, base: Column) -> DataFrame:
+    """Fit on training units, score held-out mentions: (config, unit_id, user_id, target, model, log_prob, rank).
 
-    Values of a user: own two-pass fit, else the shrunk mean over users.
+    All configurations (column ``config``) are fitted in one run, a user of
+    each on its own.  Values of a user: own two-pass fit, else the shrunk mean
+    over the users of the configuration.
     """
-    # Both are read several times below, so they are written once.
-    tagged = materialize(constraints.join(split.select("unit_id", "split"), "unit_id"), "constraints", ["split"])
+    # Each table is read several times below, so it is written once.
+    tagged = constraints.join(split.select("unit_id", "split"), "unit_id")
+    tagged = tagged.withColumn("user_id", F.struct("config", "user_id")).drop("config")
+    tagged = materialize(tagged, "constraints", ["split"])
     train, test = tagged.where("split = 'train'"), tagged.where("split = 'test'")
     fit = materialize(pointfit.point_fit(train, base), "fit")
-    base_rows = tagged.sparkSession.range(1).select(F.posexplode(base).alias("target", "b"))
-    base_long = base_rows.select("target", "b.*").unpivot("target", list("epa"), "dim", "value")
-    pooled = pointfit.shared_vector(shrunk_mean(fit, base_long, ["target", "dim"]), base)
-    vectors = materialize(pointfit.user_vectors(fit, pooled), "vectors")
-    test = pointfit.with_vectors(test, vectors, pooled)
-    forms = materialize(co.target_forms(test, "vec"), "forms")
-    mentions = pointfit.with_vectors(forms.select("unit_id", "user_id", "target"), vectors, pooled)
-    rows = predict.deflection_weights(mentions, forms)
-    return mention_scores(rows, {"our_sent": "weights"}, "target", ["unit_id", "user_id", "target"])
+    names = tagged.select("user_id.config").distinct()
+    base_long = names.select("config", F.posexplode(base).alias("target", "b")).select("config", "target", "b.*")
+    base_long = base_long.unpivot(["config", "target"], list("epa"), "dim", "value")
+    means = shrunk_mean(fit.select("user_id.config", "target", "dim", "value"), base_long, ["config", "target", "dim"])
+    pooled = materialize(pointfit.user_vectors(means, base, "config"), "pooled")
+    vectors = materialize(pointfit.vectors_over(fit, pooled), "vectors")
+    forms = co.target_forms(pointfit.with_config_vectors(test, vectors, pooled), "vec")
+    # Narrow rows are shuffled; the vector of the user comes last.
+    rows = predict.form_weights(pointfit.with_config_vectors(forms, vectors, pooled))
+    scored = mention_scores(rows, {"our_sent": "weights"}, "target", ["unit_id", "user_id", "target"])
+    return scored.select("user_id.config", "unit_id", "user_id.user_id", *scored.columns[2:])
 
 
 def config_ablation(
@@ -141,13 +147,16 @@ def config_ablation(
     names: dict[cs.ConstraintConfig, list[str]] = {}
     for name, config in configs.items():
         names.setdefault(config, []).append(name)
-    out = None
+    made = None
     for config, equal in names.items():
-        scored = toy_model(cs.build_constraints(frames, config, symbols, scores), split, base, size)
-        rows = fallback_uniform(mentions.join(scored.drop("model"), ["unit_id", "user_id", "target"], "left"), size)
-        board = rows.agg(
-            F.avg("log_prob").alias("log_prob"), F.avg(F.when(F.col("covered"), F.col("rank"))).alias("mean_rank"),
-            F.count_if("covered").alias("n_covered"), F.count("*").alias("n_obs"), F.countDistinct("user_id").alias("n_users"),
-        ).select(F.explode(F.array(*map(F.lit, equal))).alias("config"), "*")
-        out = board if out is None else out.unionByName(board)
-    return out
+        rows = cs.build_constraints(frames, config, symbols, scores).withColumn("config", F.lit(equal[0]))
+        made = rows if made is None else made.unionByName(rows)
+    mentions = mentions.withColumn("config", F.explode(F.array(*[F.lit(equal[0]) for equal in names.values()])))
+    scored = toy_model(made, split, base).drop("model")
+    rows = fallback_uniform(mentions.join(scored, ["config", "unit_id", "user_id", "target"], "left"), size)
+    board = rows.groupBy("config").agg(
+        F.avg("log_prob").alias("log_prob"), F.avg(F.when(F.col("covered"), F.col("rank"))).alias("mean_rank"),
+        F.count_if("covered").alias("n_covered"), F.count("*").alias("n_obs"), F.countDistinct("user_id").alias("n_users"),
+    )
+    all_names = F.create_map(*[x for equal in names.values() for x in (F.lit(equal[0]), F.array(*map(F.lit, equal)))])
+    return board.withColumn("config", F.explode(all_names[F.col("config")]))

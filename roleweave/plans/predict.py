@@ -78,10 +78,14 @@ def deflection_weights(mentions: DataFrame, forms: DataFrame, vec: str = "vec",
     ``forms`` is from `coefficients.target_forms`; ``vec`` holds the values of
     all candidates for the row's user.
     """
-    joined = mentions.join(forms, ["unit_id", "user_id", "target"], "left")
+    return form_weights(mentions.join(forms, ["unit_id", "user_id", "target"], "left"), vec, out)
+
+
+def form_weights(rows: DataFrame, vec: str = "vec", out: str = "weights") -> DataFrame:
+    """The same for rows that hold their form and the vector."""
     expr = co.form_deflection_sql([f"x.{d}" for d in DIMS])
     weights = F.expr(f"CASE WHEN k IS NOT NULL THEN transform({vec}, x -> -({expr})) END")
-    return joined.withColumn(out, weights).drop(*co.FORM, "extra")
+    return rows.withColumn(out, weights).drop(*co.FORM, "extra")
 
 
 # -- reading off ------------------------------------------------------------------
