@@ -271,7 +271,7 @@ def constraint_ablation(spark, d):
 
 @proof("neighbour_value_mix", "E10", None)
 def neighbour_value_mix(spark, d):
-    mix = evaluate.neighbour_value_mix(units.all_constraints(spark, d))
+    mix = evaluate.neighbour_value_mix(units.all_constraints(spark, d), frames.identities(spark, d))
     return rounded(mix, ["mean", "sd"], 5)
 
 

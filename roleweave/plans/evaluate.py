@@ -82,11 +82,19 @@ def covered_only(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def neighbour_value_mix(constraints: DataFrame, user: str = "user_id") -> DataFrame:
-    """Per identity: mean and spread over users of the mean word value met in its constraints."""
-    rows = constraints.select(user, F.explode("targets").alias("target"), "operands")
-    rows = rows.select(user, "target", F.explode(F.filter("operands", lambda o: o["idx"].isNull() & (o["entity"] != "ZERO"))).alias("o"))
-    per = rows.groupBy(user, "target").agg(F.avg("o.e").alias("v"))
+def neighbour_value_mix(constraints: DataFrame, identity_values: DataFrame, user: str = "user_id") -> DataFrame:
+    """Per identity: mean and spread over users of the mean e of what it meets in its constraints.
+
+    Words and other identities (``identity_values``: idx, e) count once per
+    unit, however many of its constraints hold them; those without a value do
+    not count.
+    """
+    rows = constraints.select("unit_id", user, F.explode("targets").alias("target"), "operands")
+    rows = rows.select("unit_id", user, "target", F.explode("operands").alias("o")).where(F.col("o.entity") != "ZERO")
+    rows = rows.where(F.col("o.idx").isNull() | (F.col("o.idx") != F.col("target")))
+    met = rows.groupBy("unit_id", user, "target", "o.entity").agg(F.first("o.idx").alias("idx"), F.first("o.e").alias("_word"))
+    valued = met.join(identity_values.select("idx", F.col("e").alias("_identity")), "idx", "left")
+    per = valued.groupBy(user, "target").agg(F.avg(F.coalesce("_word", "_identity")).alias("v")).where(F.col("v").isNotNull())
     return per.groupBy("target").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("*").alias("n_users"))
 
 

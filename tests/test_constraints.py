@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from roleweave.operators import coefficients as co
 from roleweave.operators import constraints as cs
-from roleweave.plans import sentiment
+from roleweave.plans import evaluate, sentiment
 
 OFF = 0.0001
 TEACHER, STUDENT = (2.45, 1.75, 0.29), (1.49, 0.31, 0.75)
@@ -269,3 +269,19 @@ def test_token_ids_above_a_million(spark):
     # Pairs of ids far apart in size stay different pairs.
     far = spark.range(1).select(F.arrays_overlap(cs._pairs(F.lit(1), F.lit(1_000_002)), cs._pairs(F.lit(2), F.lit(2))).alias("x"))
     assert far.first()["x"] is False
+
+
+def test_neighbour_mix_counts_each_entity_once_per_unit(spark):
+    both = [ident("a", 0), word("b", "instruct"), ident("o", 1)]
+    rows = [
+        (1, 1, "event", False, both, [0, 1], None, None, None),
+        (1, 1, "event", False, [*both, word("om", "cocky")], [0, 1], None, None, None),
+        (2, 1, "equality", False, [ident("a", 0), ident("o", 2)], [0, 2], None, None, None),
+    ]
+    values = spark.createDataFrame([(0, 3.0), (1, 0.5)], "idx int, e double")
+    got = {r["target"]: r["mean"] for r in evaluate.neighbour_value_mix(spark.createDataFrame(rows, SCHEMA), values).collect()}
+    instruct, cocky = 1.85 + OFF, -0.57 + OFF
+    # The third identity has no value, so it does not count for the first.
+    assert got[0] == pytest.approx((instruct + cocky + 0.5) / 3)
+    assert got[1] == pytest.approx((instruct + cocky + 3.0) / 3)
+    assert got[2] == pytest.approx(3.0)
