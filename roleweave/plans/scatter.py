@@ -14,54 +14,52 @@ FANOUT = 32
 
 
 def _add_rows(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Row i of the centred cross product of all parts, from theirs and their means."""
+    i, n = pdf["i"].iloc[0], pdf["n"].to_numpy(dtype=float)
+    means = np.stack(pdf["mean"].to_numpy())
+    mean = n @ means / n.sum()
+    apart = means - mean
     out = pdf.iloc[:1].copy()
     out["n"] = pdf["n"].sum()
-    out["vec"] = [np.sum(np.stack(pdf["vec"].to_numpy()), axis=0)]
-    return out[[*keys, "n", "vec"]]
+    out["mean"] = [mean]
+    out["vec"] = [np.stack(pdf["vec"].to_numpy()).sum(0) + (n * apart[:, i]) @ apart]
+    return out[[*keys, "n", "mean", "vec"]]
 
 
 def moment_rows(vectors: DataFrame, vec: str = "vec") -> DataFrame:
-    """(i, n, vec): row i of X'X for i >= 0; the column sums under i = -1.
+    """(i, n, mean, vec): row i of the centred cross product, with the mean vector.
 
-    Each partition reduces its vectors to one p x p matrix; matrices are then
-    summed row by row in two rounds, so no task sees all partitions.
+    Each partition reduces its vectors to one p x p matrix around its own mean;
+    matrices are then merged row by row in two rounds, so no task sees all
+    partitions, and nothing cancels where a mean is far from 0.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sums, cross = 0, None, None
+        n, mean, cross = 0, 0.0, 0.0
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["vec"].to_numpy()).astype(float)
-                n += len(x)
-                sums = x.sum(0) if sums is None else sums + x.sum(0)
-                cross = x.T @ x if cross is None else cross + x.T @ x
+                m = x.mean(0)
+                apart, both = m - mean, n + len(x)
+                cross = cross + (x - m).T @ (x - m) + np.outer(apart, apart) * (n * len(x) / both)
+                n, mean = both, mean + apart * (len(x) / both)
         if n:
-            rows = [sums, *cross]
             part = TaskContext.get().partitionId() % FANOUT
-            yield pd.DataFrame({"i": range(-1, len(rows) - 1), "part": part, "n": n, "vec": rows})
+            yield pd.DataFrame({"i": range(len(cross)), "part": part, "n": n, "mean": [mean] * len(cross), "vec": list(cross)})
 
-    parts = vectors.select(F.col(vec).alias("vec")).mapInPandas(partial, "i int, part int, n long, vec array<double>")
-    first = parts.groupBy("i", "part").applyInPandas(
-        lambda pdf: _add_rows(pdf, ["i", "part"]), "i int, part int, n long, vec array<double>"
-    )
-    return first.groupBy("i").applyInPandas(lambda pdf: _add_rows(pdf, ["i"]), "i int, n long, vec array<double>")
+    shape = "n long, mean array<double>, vec array<double>"
+    parts = vectors.select(F.col(vec).alias("vec")).mapInPandas(partial, f"i int, part int, {shape}")
+    first = parts.groupBy("i", "part").applyInPandas(lambda pdf: _add_rows(pdf, ["i", "part"]), f"i int, part int, {shape}")
+    return first.groupBy("i").applyInPandas(lambda pdf: _add_rows(pdf, ["i"]), f"i int, {shape}")
 
 
 def scatter_stats(vectors: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, centred cross product) on the driver; p x p numbers only."""
     pdf = moment_rows(vectors, vec).orderBy("i").toPandas()
-    n = int(pdf["n"].iloc[0])
-    sums = np.asarray(pdf["vec"].iloc[0], dtype=float)
-    cross = np.stack(pdf["vec"].iloc[1:].to_numpy())
-    mean = sums / n
-    return n, mean, cross - n * np.outer(mean, mean)
+    return int(pdf["n"].iloc[0]), np.asarray(pdf["mean"].iloc[0], dtype=float), np.stack(pdf["vec"].to_numpy())
 
 
 def covariance(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Long (i, j, cov) population covariance, without a visit to the driver."""
-    rows = moment_rows(vectors, vec)
-    sums = rows.where("i = -1").select(F.struct("n", "vec")).scalar()
-    cross = rows.where("i >= 0").withColumn("_s", sums).select("i", "_s", F.posexplode("vec").alias("j", "x"))
-    n = F.col("_s.n")
-    mean = lambda k: F.get(F.col("_s.vec"), F.col(k)) / n
-    return cross.select("i", "j", (F.col("x") / n - mean("i") * mean("j")).alias("cov"))
+    rows = moment_rows(vectors, vec).select("i", "n", F.posexplode("vec").alias("j", "x"))
+    return rows.select("i", "j", (F.col("x") / F.col("n")).alias("cov"))
