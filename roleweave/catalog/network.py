@@ -117,12 +117,12 @@ def shifts_and_intervals(spark, d):
     return rounded(out, ["diff", "diff_abs", "lo", "hi"])
 
 
-# Order-part graph of large line items.
-GRAPH_SQL = "g AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= 49)"
+# Order-part graph of all line items.
+GRAPH_SQL = "g AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem)"
 
 
 def order_parts(spark, d):
-    li = frames.table(spark, d, "lineitem").where("l_quantity >= 49")
+    li = frames.table(spark, d, "lineitem", ["l_orderkey", "l_partkey"])
     return li.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
 
 
@@ -161,7 +161,7 @@ def dimension_communities(spark, d):
 
 @proof("dimension_betweenness", "N6", None)
 def dimension_betweenness(spark, d):
-    return rounded(nw.betweenness(edges(spark, d, 0.1)), ["betweenness"], 6)
+    return rounded(nw.betweenness(edges(spark, d)), ["betweenness"], 6)
 
 
 BAND = "(4*1.06*least(stddev_samp({c}), (quantile_cont({c},0.75)-quantile_cont({c},0.25))/1.34)*pow(count(*),-0.2)/4)"
