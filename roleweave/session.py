@@ -93,7 +93,35 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write once to the shared folder, one file for each bucket of ``key``; joins on it leave the rows where they are."""
+    spark = df.sparkSession
+    buckets = max(buckets, 2 * spark.sparkContext.defaultParallelism)
+    path = scratch_path(spark, name)
+    table = os.path.basename(path).replace("-", "_")
+    writer = df.repartition(buckets, key).write.format("parquet").option("path", path)
+    writer.bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.scratch_path, out.scratch_table = path, table
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        if getattr(df, "scratch_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df.scratch_table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

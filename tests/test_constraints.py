@@ -113,13 +113,19 @@ def test_chain_arithmetic_equals_columns(spark):
         a, b = want.get(key, (0.0, 0.0))
         want[key] = (a + w, b - w * r["c1"] / (2 * r["c0"] + 1e-4))
     got = {}
-    for user in sentiment.fold_constraints(df).rows.collect():
-        for f in user["fixed"] or []:
-            key = (user["user_id"], f["k"] // 3, "epa"[f["k"] % 3])
+    by_user = {}
+    for r in sentiment.fold_constraints(df).collect():
+        by_user.setdefault(r["user_id"], []).append(r)
+    for u, rows in by_user.items():
+        head, = [r for r in rows if r["target"] < 0]
+        user = {"user_id": u}
+        for f in head["fixed"] or []:
+            key = (u, f["k"] // 3, "epa"[f["k"] % 3])
             got[key] = (f["w"], f["wx"])
         by_target = {}
-        for f in user["forms"] or []:
-            by_target.setdefault(f["target"], []).append(f)
+        for f in rows:
+            if f["target"] >= 0:
+                by_target.setdefault(f["target"], []).append(f)
         for t, fs in by_target.items():
             seen = sentiment._Observed(t, fs)
             for j, d in enumerate("epa"):
