@@ -13,7 +13,8 @@ least one anchor whose whole neighbourhood lies inside it.  So
    equal whole are settled together: all their windows occur in each of them;
 3. what is left are groups of equal core and different wholes, at the ends of
    repeats.  One group of each whole names its windows, which are counted one
-   by one.
+   by one; what is found in it holds at the same offsets for the other groups
+   of this whole that step 2 did not settle.
 
 Counts are aggregated before they are shuffled, so a passage in a third of all
 texts is a row per task; the rows that look up a count are joined with a table
@@ -169,11 +170,12 @@ def _windows(spec: Windows, schema: pa.Schema):
                     w1, _ = _names(spec, parse, r - lo, first, first + length - 1)
                     own = w1 == a["w1"][own]
                     first, length = first[own], length[own]
+                    start = np.repeat(first, length)
                     if not len(first):
                         continue
                     win = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
                     out = dict(zip(("f1", "f2"), _names(spec, parse, r - lo, win, win)))
-                    out["win"] = win
+                    out["win"], out["i0"] = win, start
                     rows = pa.array(np.full(len(win), r))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).take(rows) for f in schema],
@@ -261,21 +263,31 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     first = F.min(F.struct(*rank, "key", "i0", "i1")).alias("first")
     wholes = scratch.write(groups.groupBy(*whole).agg(*(counts[:1] if ordered else counts), first), "wholes")
     twice = groups.join(wholes.filter("true" if ordered else "n > 1").drop("first"), whole)
+    if ordered:  # wholes that start in no smaller id, but again within their own
+        rest = groups.join(wholes, whole).filter("lo = ord and (key <> first.key or i0 <> first.i0)")
+        rest = rest.select(F.col("key").alias("own"), (F.col("i0") - F.col("first.i0")).alias("by"), F.col("first.key").alias("key"), F.col("first.i0").alias("i0"))
+        rest = scratch.write(rest.distinct(), "rest")
     twice = twice.filter("lo < ord") if ordered else twice
     settled = twice.groupBy("key").agg(F.collect_set(F.struct("i0", "i1", "w1")).alias("settled"))
     open_cores = wholes.groupBy("core").agg(F.count("*").alias("m")).filter("m > 1").select("core")
     asked = wholes.join(open_cores, "core").select("first.key", "first.i0", "first.i1", "w1")
     asked = asked.groupBy("key").agg(F.collect_set(F.struct("i0", "i1", "w1")).alias("asked"))
 
-    schema, arrow = _schema("key ord", work, {"win": "int", "f1": "long", "f2": "long"})
+    more = {"win": "int", "f1": "long", "f2": "long"} | ({"i0": "int"} if ordered else {})
+    schema, arrow = _schema("key ord", work, more)
     texts = work.filter("i0 is not null").select("key", *rank, F.col("text").cast("string"))
     windows = scratch.write(texts.join(asked, "key").mapInArrow(_windows(spec, arrow), schema), "windows")
     names = scratch.write(windows.groupBy("f1", "f2").agg(*counts).filter(again), "names")
     found = windows.join(names, ["f1", "f2"])
-    found = found.filter("lo < ord") if ordered else found
-    found = found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
-    ends = scratch.write(settled.join(found, "key", "full"), "ends")
-    scratch.drop(wholes, windows, names)
+    if ordered:
+        found = scratch.write(found.filter("lo < ord").select("key", "i0", "win", "f1"), "found")
+        same = found.join(rest, ["key", "i0"]).select(F.col("own").alias("key"), (F.col("win") + F.col("by")).alias("win"), "f1")
+        all_found = found.select("key", "win", "f1").union(same)
+    else:
+        all_found = found
+    marked = all_found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
+    ends = scratch.write(settled.join(marked, "key", "full"), "ends")
+    scratch.drop(wholes, windows, names, *([rest, found] if ordered else []))
 
     more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
     schema, arrow = _schema("id n", work, more)

@@ -94,6 +94,30 @@ def test_earlier_words(docs):
     assert any(n for _, _, n, _ in want)
 
 
+def test_earlier_words_again_in_one_text(spark):
+    """A passage of an earlier text that occurs twice in a later one goes at both places."""
+    p, c, d = prose(20000, 20060), prose(21000, 21080), prose(22000, 22080)
+    twice = " ".join([c, p, d, c, p, d])
+    rows = [
+        (1, " ".join([prose(23000, 23080), p, prose(24000, 24080)])),
+        (2, twice),
+        (2, twice + " end"),
+        (3, " ".join([prose(25000, 25080), c, p, d, prose(26000, 26080)])),
+    ]
+    got = remove_earlier_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    words = [(i, WORD.findall(t.encode())) for i, t in rows]
+    want = Counter()
+    for i, w in words:
+        earlier = {tuple(v[p : p + 50]) for j, v in words if j < i for p in range(len(v) - 49)}
+        gone = bytearray(len(w))
+        for p in range(len(w) - 49):
+            if tuple(w[p : p + 50]) in earlier:
+                gone[p : p + 50] = b"\1" * 50
+        want[i, sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()] += 1
+    assert pairs(got, "id", "n_removed", "kept_sha256") == want
+    assert [n for i, n, _ in want if i == 2] == [120, 120]
+
+
 @pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(docs, shingle, percent):
     sets = []
