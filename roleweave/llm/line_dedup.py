@@ -1,19 +1,25 @@
 """Operator 6: line dedup by pairwise alignment.
 
-Overlapping texts are found through shared rare lines: each line hash has a
-first holder, and every later text that holds the line is paired with it, so
-pairs grow with the lines, not with the square of a line's holders.  A pair's
-line hashes are aligned by patience diff, and common blocks are deleted from
-the later text.
+Overlapping texts are found through shared runs: a run is adjacent lines that
+just reach the least number of words, from a first line on or up to a last one,
+and every block to be deleted is covered by its runs.  Each run has a first
+holder, and every later text that holds it is paired with that one, so pairs
+grow with the lines, not with the square of a run's holders.  A pair's line
+hashes are aligned by patience diff, and common blocks are deleted from the
+later text; so are the runs of the earlier text that the alignment leaves,
+as their lines are repeated or moved.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import arrays as A
 from .base import WORD, Scratch, query, row_key, table
@@ -87,6 +93,53 @@ def blocks(aligned: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
+def runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of lines with ``least`` words that have fewer without their last line, or without their first."""
+    n = len(words)
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    place = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    lo = np.concatenate((place[end <= n], start[start >= 0]))
+    hi = np.concatenate((end[end <= n], place[start >= 0] + 1))
+    both = np.unique(lo * (n + 1) + hi)
+    return both // (n + 1), both % (n + 1)
+
+
+def _run_names(lines: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return A.RunHash(lines.astype(np.int64).view(np.uint64))(lo, hi).view(np.int64)
+
+
+def _runs(least: int, schema: pa.Schema):
+    """Name of each run of each text, once."""
+
+    def run(batches):
+        for batch in batches:
+            h, w = A.Lists(batch.column("h")), A.Lists(batch.column("w"))
+            names = [np.unique(_run_names(h[r], *runs(w[r], least))) for r in range(len(batch))]
+            rows = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in names]))
+            run = pa.array(np.concatenate([np.zeros(0, np.int64), *names]))
+            yield pa.RecordBatch.from_arrays([run if n == "run" else batch.column(n).take(rows) for n in schema.names], schema=schema)
+
+    return run
+
+
+def left_over(a: np.ndarray, words: np.ndarray, b: np.ndarray, found: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Blocks of ``a`` made of runs that ``b`` has too and that are not inside ``found``."""
+    lo, hi = runs(words, least)
+    gone = A.cover(len(a), *(np.array([x[n] for x in found], np.int64) for n in (0, 1)))
+    todo = np.concatenate(([0], np.cumsum(~gone)))
+    todo = todo[hi] > todo[lo]
+    if not todo.any():
+        return []
+    known, at = np.unique(a, return_index=True)
+    place = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    other = np.where(known[place] == b, words[at[place]], least)  # a run with a line that a lacks equals none of a
+    lo, hi = lo[todo], hi[todo]
+    same = np.isin(_run_names(a, lo, hi), _run_names(b, *runs(other, least)))
+    return [(int(x), int(y)) for x, y in zip(*A.spans(A.cover(len(a), lo[same], hi[same])))]
+
+
 def _align(least: int):
     kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
@@ -95,25 +148,28 @@ def _align(least: int):
             later, words, first = (A.Lists(batch.column(n)) for n in ("h", "w", "fh"))
             found = []
             for r in range(len(batch)):
-                w = words[r].tolist()
-                found.append([{"lo": a, "hi": b} for a, b in blocks(patience(later[r].tolist(), first[r].tolist()), w, least)])
+                aligned = blocks(patience(later[r].tolist(), first[r].tolist()), words[r].tolist(), least)
+                aligned += left_over(later[r], words[r], first[r], aligned, least)
+                found.append([{"lo": a, "hi": b} for a, b in aligned])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, kind)], names=["key", "blocks"])
 
     return run
 
 
 def remove_shared_lines(
-    docs: DataFrame, min_words: int = 5, common_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = 5, common_share: float = 1.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with three columns more: n_lines, removed (line ranges), kept_text.
 
-    Lines are parts between newlines, compared without outer spaces.  A line
-    names candidates if it has a word and is in at most ``common_share`` of the
-    texts (or in two): lines beyond that are boilerplate of the whole corpus.
-    Of a pair, the text of larger id loses every aligned block of at least
-    ``min_words`` words.  All pairs are judged on the input, so what an earlier
-    text loses does not matter.  Where two texts share lines whose first holder
-    is a third, both are paired with that one.
+    Lines are parts between newlines, compared without outer spaces.  A text
+    loses every block of adjacent lines with at least ``min_words`` words (one
+    at least) that a text of smaller id has too.  All are judged on the input,
+    so what an earlier text loses does not matter.  Where two texts share a run
+    whose first holder is a third, both are paired with that one.
+
+    ``common_share`` below 1 keeps boilerplate: runs that more than this share
+    of the texts have (and more than two) name no candidates.  By default none
+    is left out.
 
     Null texts have no lines and stay null.  Rows of null id, and rows of one
     id among each other, are not paired.  Repeated rows are answered alike.  An
@@ -130,14 +186,21 @@ def remove_shared_lines(
     )
     lines = scratch.write(lines.filter("id is not null and h is not null"), "lines")
     total = lines.count()
-    places = lines.select("key", "id", F.explode(F.arrays_zip("h", "w")).alias("x")).select("key", "id", "x.h", "x.w").filter("w > 0")
-    holders = places.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    least = max(1, min_words)
+    schema = StructType([lines.schema["key"], lines.schema["id"], StructField("run", LongType())])
+    names = lines.select("key", "id", "h", "w").mapInArrow(_runs(least, to_arrow_schema(schema)), schema)
+    names = scratch.write(names, "runs")
+    holders = names.groupBy("run").agg(
+        F.min("id").alias("first"), F.min_by("key", "id").alias("f"), F.max("id").alias("last"), F.count("*").alias("n")
+    )
     holders = holders.filter((F.col("first") < F.col("last")) & (F.col("n") <= max(2.0, common_share * total)))
-    holders = scratch.write(holders.select("h", "first"), "holders")
-    pairs = scratch.write(places.join(holders, "h").filter("id > first").select("key", "first").distinct(), "pairs")
-    firsts = lines.join(pairs.select(F.col("first").alias("id")).distinct(), "id").groupBy("id").agg(F.min_by("h", "key").alias("fh"))
-    both = pairs.join(lines.select("key", "h", "w").dropDuplicates(["key"]), "key").join(firsts.withColumnRenamed("id", "first"), "first")
-    found = both.select("key", "h", "w", "fh").mapInArrow(_align(min_words), "key long, blocks array<struct<lo:int,hi:int>>")
+    holders = scratch.write(holders.select("run", "first", "f"), "holders")
+    pairs = scratch.write(names.join(holders, "run").filter("id > first").select("key", "f").distinct(), "pairs")
+    scratch.drop(names)
+    firsts = lines.join(pairs.select(F.col("f").alias("key")).distinct(), "key").dropDuplicates(["key"])
+    firsts = firsts.select(F.col("key").alias("f"), F.col("h").alias("fh"))
+    both = pairs.join(lines.select("key", "h", "w").dropDuplicates(["key"]), "key").join(firsts, "f")
+    found = both.select("key", "h", "w", "fh").mapInArrow(_align(least), "key long, blocks array<struct<lo:int,hi:int>>")
     found = found.filter("size(blocks) > 0").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocks")))).alias("_removed"))
     found = scratch.write(found, "found")
     scratch.drop(holders, pairs)

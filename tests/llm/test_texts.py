@@ -240,6 +240,36 @@ def test_shared_lines(spark):
     }
 
 
+def test_shared_lines_of_any_number(spark):
+    """Lines that are repeated in the first holder, in all texts, moved, or too short one by one; two texts of one id."""
+    hot, b1, b2 = "this line is held by every single text", "three words here", "and three more"
+    rows = [
+        (1, f"own words of one\n{hot}\nother words of one\n{hot}\n{b1}"),
+        (2, f"own words of two\n{hot}\n{b2}\nthe end of text two"),
+        (3, f"own words of three\n{b1}\n{b2}\nthe end of text three\n{hot}"),
+        (4, f"own words of four\n{hot}\n{b1}\n{b2}\nthe end of text four"),
+        (5, "a first block of some words\nx\na second block of some words"),
+        (6, "a second block of some words\ny\na first block of some words"),
+        (7, "one\ntwo\n\nthree four\nfive six\nseven"),
+        (7, "another text under the same id\nz"),
+        (8, "0\ntwo\n\nthree four\nfive six\n9\nanother text under the same id"),
+        (9, hot + "\n" + hot),
+    ]
+    texts = [(i, t.split("\n")) for i, t in rows]
+    want = Counter()
+    for i, a in texts:
+        gone = set()
+        for lo in range(len(a)):
+            for hi in range(lo + 1, len(a) + 1):
+                if len(" ".join(a[lo:hi]).split()) >= 5:
+                    if any(j < i and a[lo:hi] == b[k : k + hi - lo] for j, b in texts for k in range(len(b))):
+                        gone |= set(range(lo, hi))
+        want[i, "\n".join(x for n, x in enumerate(a) if n not in gone)] += 1
+    got = remove_shared_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pairs(got, "doc_id", "kept_text") == want
+    assert want[4, "own words of four\nthe end of text four"] and want[6, "y"] and want[9, ""]
+
+
 def test_licenses(spark):
     rows = [
         (1, "Copyright (c) 2020 Somebody\n  released UNDER the MIT licence!\n"),
