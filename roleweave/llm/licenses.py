@@ -1,7 +1,8 @@
 """Operator 3: licence scan by canonical digests.
 
 A text is brought to a canonical form: lower case, equivalent spellings made
-equal, copyright lines left out, punctuation and spacing made single spaces.
+equal, copyright lines and a licence's title at the start left out, punctuation,
+comment marks and spacing made single spaces.
 Digests of entire canonical texts are joined with those of known licences; so
 is each line's, as notices of one line are licences' texts of their own.
 """
@@ -56,20 +57,30 @@ THIS SOFTWARE.""",
 #: Spellings that licence texts use for one another.
 EQUAL = [("licence", "license"), ("licencing", "licensing"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"),
          ("organisation", "organization"), ("merchantability and fitness", "merchantability fitness"), ("copyright owner", "copyright holder")]
-NOT_COPYRIGHT = r"(?m)^[\t ]*(?:copyright\b|\(c\)|©)[^\n]*[0-9][^\n]*$"
+#: A line that starts with a copyright mark; a wrapped "copyright notice" or an item "(c)" is none.
+NOT_COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n]*?(?:copyright\b(?![^\p{L}\p{N}]+(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?"
+    r"|rights?|and|or|in|on|to|of|is|that|which)\b)|©|\(c\)[^\p{L}\p{N}\n]*(?:copyright\b|[0-9])|\(c\)[^\n]*[0-9]"
+    r"|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+)
+#: The name of a licence as the first line with a word.
+TITLE = (
+    r"^[^\p{L}\p{N}]*(?:the )?(?:mit|expat|isc|(?:new |modified |simplified )?bsd(?: [23][- ]clause)?"
+    r"(?: \"?(?:new|simplified)\"? or \"?(?:revised|freebsd)\"?)?) licen[cs]e(?: \((?:mit|expat|isc)\))?[^\p{L}\p{N}\n]*(?:\n|$)"
+)
 
 
 def canonical(text: Column) -> Column:
     """Canonical form, line by line: newlines stay."""
     t = F.lower(text)
-    t = F.regexp_replace(t, NOT_COPYRIGHT, "")
+    t = F.regexp_replace(F.regexp_replace(t, NOT_COPYRIGHT, ""), TITLE, "")
     for a, b in EQUAL:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
 
 
 def _digest(text: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(text, " *\n+ *", " ")), 256)
+    return F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256)
 
 
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleweave.llm.decontaminate import contaminated_words
-from roleweave.llm.licenses import known_licenses, scan_licenses
+from roleweave.llm.licenses import KNOWN, known_licenses, scan_licenses
 from roleweave.llm.line_dedup import blocks, patience, remove_shared_lines
 from roleweave.llm.minhash import near_duplicate_groups
 from roleweave.llm.quality_rules import base_failed, text_statistics
@@ -290,6 +290,27 @@ def test_licenses(spark):
     }
 
 
+def test_whole_licenses(spark):
+    """Line ends, comment marks, titles and copyright lines of any kind do not matter."""
+    mit, isc = (next(t for n, t in KNOWN if n == name and "\n" in t) for name in ("MIT", "ISC"))
+    head = "MIT License\n\nCopyright (c) 2020 X\n\n"
+    wrapped = isc.replace("the above copyright", "the above\ncopyright")
+    assert wrapped != isc
+    rows = [
+        (1, mit.replace("\n", "\r\n"), "MIT"),
+        (2, "/*\n" + "".join(f" * {x}\n" for x in (head + mit).split("\n")) + " */\n", "MIT"),
+        (3, head + mit, "MIT"),
+        (4, "The MIT License (MIT)\r\n\r\nCopyright (c) The Authors\r\n---\r\n" + mit, "MIT"),
+        (5, "Copyright Some Company, Inc.\nAll rights reserved.\n\n" + mit, "MIT"),
+        (6, "ISC License\n\n© Somebody\n\n" + wrapped, "ISC"),
+        (7, "Released under the\nMIT License", "MIT"),
+        (8, mit + "\nBut not on Sundays.", None),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in scan_licenses(docs, known_licenses(spark)).collect()}
+    assert got == {i: name for i, _, name in rows}
+
+
 @pytest.mark.parametrize(
     "run",
     [
