@@ -36,11 +36,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id."""
+    """One document of each group of near duplicates, the one of smallest id and, within an id, of smallest row key."""
     base.prepare(spark)
-    groups = minhash.near_duplicate_groups(docs)
-    gone = groups.filter("not kept").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    scratch = base.Scratch(spark, "near")
+    groups = minhash.near_duplicate_groups(docs).filter("root is not null").select("root", "id", "key")
+    groups = scratch.write(groups, "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    gone = groups.join(first, "root").filter("key <> first.key").select(F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", base.row_key("doc_id", "text"))
+    kept = keyed.join(gone, "_key", "left_anti").select(docs.columns)
     return kept.dropDuplicates(["doc_id", "text"])
 
 

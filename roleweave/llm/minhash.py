@@ -196,7 +196,9 @@ def near_duplicate_groups(
     """Connected groups of texts whose shingle sets agree to ``percent`` (intersection by union).
 
     Rows: id, n_shingles, component (smallest id reachable, itself included),
-    kept (id = component), one for each input row.
+    kept (id = component), key (of id and text) and root (of the group, as two
+    may have the same smallest id; null where a row is linked with nothing by
+    rule), one for each input row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case; a text
     of fewer than ``shingle`` words is one shingle; texts without words, and
@@ -268,11 +270,16 @@ def near_duplicate_groups(
 
     of_class = classes.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     smallest = of_class.groupBy("root").agg(F.min("rep").alias("component"))
-    groups = of_class.join(smallest, "root").select("s1", "s2", "n", "component")
-    out = signed.select("id", "n", "s1", "s2").join(groups, ["s1", "s2", "n"], "left")
+    groups = of_class.join(smallest, "root").select("s1", "s2", "n", "component", "root")
+    out = signed.select("id", "key", "n", "s1", "s2").join(groups, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return out.select(
-        "id", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        "id",
+        F.col("n").alias("n_shingles"),
+        component.alias("component"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        "key",
+        F.when(F.col("id").isNotNull(), F.col("root")).alias("root"),
     )
 
 

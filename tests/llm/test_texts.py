@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_duplicates
 from roleweave.llm.decontaminate import contaminated_words
 from roleweave.llm.licenses import KNOWN, known_licenses, scan_licenses
 from roleweave.llm.line_dedup import blocks, patience, remove_shared_lines
@@ -150,6 +151,17 @@ def test_near_duplicates_that_no_star_links(spark):
     assert {r["component"] for r in got.collect()} == {0}
 
 
+def test_near_duplicates_under_one_id(spark):
+    """The pipeline drops rows, not ids: of each group one row stays, and no other text of its id goes."""
+    a, near, b, c = prose(0, 200), prose(0, 200) + " end", prose(30000, 30200), prose(40000, 40200)
+    rows = [(3, a), (3, near), (3, c), (5, a), (5, b), (7, b), (7, None), (None, a), (3, "")]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert got[3, a] + got[3, near] == 1
+    del got[3, a], got[3, near]
+    assert +got == Counter([(3, c), (5, b), (7, None), (None, a), (3, "")])
+
+
 ITEM = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 ITEMS = [(1, prose(110, 130)), (2, "One, two!"), (3, "..."), (4, None), (5, prose(1010, 1021)), (None, prose(3100, 3120)), (6, prose(110, 130))]
 
