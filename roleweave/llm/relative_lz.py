@@ -1,12 +1,9 @@
-"""Operator 10: substring dedup by relative Lempel-Ziv parsing.
-
-Every text is cut at content-defined anchors; the block around each anchor is
-indexed with the smallest id that holds it, so the index covers all reference
-blocks of all earlier texts.  A text is factored greedily against the index: a
-factor takes in block after block for as long as the run of blocks reads the
-same in an earlier text.  Windows inside a factor are duplicates.  Windows
-across factor boundaries, where the blocks on both sides are indexed but their
-run is not, are checked one by one by their own names.
+"""Operator 10: substring dedup against earlier texts, by names of windows.
+
+The dealt method is relative Lempel-Ziv parsing; this is not one, as there are
+no factors.  The neighbourhoods of content-defined anchors are indexed by the
+ids that hold them, and the windows of words that only hold indexed ones are
+settled in groups, or one by one at the ends of repeats (see ``parsing``).
 """
 
 from __future__ import annotations
