@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     line_dedup,
     minhash,
     mixing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     relative_lz,
