@@ -8,9 +8,11 @@ from . import (  # noqa: F401
     minhash,
     mixing,
     periodic_runs,
+    phrases,
     quality_classifier,
     quality_rules,
     relative_lz,
+    simhash,
     suffix_dedup,
 )
 from .base import ORACLES, QUERIES  # noqa: F401
