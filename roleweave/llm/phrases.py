@@ -11,8 +11,8 @@ after that counts belong to words, not to fingerprints.
 
 An n-gram is as frequent as its two (n-1)-grams at least, so longer ones are
 counted only where both of these may be frequent.  That is read off a bitmap of
-2 ** ``FILTER`` bits of the frequent fingerprints.  Its size does not grow with
-the data, and it lets too much through, never too little: counts stay exact.
+the frequent fingerprints.  Its size does not grow with the data, and it lets too
+much through, never too little: counts stay exact.
 """
 
 from __future__ import annotations
@@ -20,16 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from .base import Scratch, query, row_key, table
-
-FILTER = 26
-SEGMENT = 1 << 14  # 64-bit words of the bitmap in one row
+from .bits import bitmap, marked
 
 #: Kinds of bytes: 0 for the gaps between words, 1 for words; the marks end a piece.
 KIND = np.ones(256, np.uint8)
@@ -86,18 +83,12 @@ def _seeds(batch: pa.RecordBatch) -> np.ndarray:
     return A.mix(batch.column("seed").to_numpy().view(A.U).copy())
 
 
-def _places(bitmap: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which of the fingerprints are marked."""
-    bit = names >> A.U(64 - FILTER)
-    return (bitmap[(bit >> A.U(6)).astype(np.int64)] >> (bit & A.U(63)) & A.U(1)).astype(bool)
-
-
 def _frequent(grams: Grams, n: int, filters) -> np.ndarray:
     """First words of the n-grams whose parts may all be frequent, as far as filters (by length, from 2) go."""
     at = grams.whole(n)
-    for length, bitmap in enumerate(filters, 2):
+    for length, words in enumerate(filters, 2):
         for shift in range(n - length + 1):
-            at = at[_places(bitmap.value, grams.names(at + shift, length, 0))]
+            at = at[marked(words.value, grams.names(at + shift, length, 0))]
     return at
 
 
@@ -195,25 +186,6 @@ def _read(longest: int):
     return run
 
 
-def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = np.zeros(SEGMENT, np.int64)
-    words[pdf["word"].to_numpy() % SEGMENT] = pdf["bits"].to_numpy()
-    return pd.DataFrame({"segment": [int(pdf["segment"].iat[0])], "words": [words.tobytes()]})
-
-
-def _bitmap(spark: SparkSession, frequent: DataFrame):
-    """Broadcast bitmap of fingerprints ``h``: 2 ** FILTER bits, whatever their number."""
-    bit = F.shiftrightunsigned("h", 64 - FILTER)
-    marked = frequent.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER}) & 63 as int))").alias("bit"))
-    words = marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    words = words.withColumn("segment", F.floor(F.col("word") / SEGMENT).cast("int"))
-    parts = words.groupBy("segment").applyInPandas(_dense, "segment int, words binary").collect()
-    bitmap = np.zeros((1 << FILTER) // 64, np.int64)
-    for p in parts:
-        bitmap[p["segment"] * SEGMENT : (p["segment"] + 1) * SEGMENT] = np.frombuffer(p["words"], np.int64)
-    return spark.sparkContext.broadcast(bitmap.view(A.U))
-
-
 def phrase_counts(
     docs: DataFrame, scratch: Scratch, longest: int = 3, least: int = 10, group_col: str = "lang", text_col: str = "text"
 ) -> DataFrame:
@@ -221,14 +193,13 @@ def phrase_counts(
 
     The phrase of no words, n = 0, counts all words of the group.  A null group is ``und``; null texts are empty.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(group_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("seed", F.xxhash64("lang")).withColumn("key", row_key("lang", "text"))
     filters: list = []
     for n in range(2, longest):
         counted = docs.select("text", "seed").mapInArrow(_counted(n, filters), "h long, c long")
         frequent = scratch.write(counted.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("h"), f"frequent{n}")
-        filters.append(_bitmap(spark, frequent))
+        filters.append(bitmap(frequent))
         scratch.drop(frequent)
     pointed = docs.select("text", "seed", "key").mapInArrow(_pointed(longest, filters), "h long, k long, c long, key long")
     pointed = pointed.groupBy("h", "k").agg(F.sum("c").alias("c"), F.min("key").alias("key")).filter(F.col("c") >= least)

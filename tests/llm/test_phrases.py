@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleweave.llm import arrays as A
+from roleweave.llm import bits
 from roleweave.llm import phrases as P
 from roleweave.llm import queries
 from roleweave.llm.base import Scratch
@@ -94,8 +95,8 @@ def test_counts_with_a_full_bitmap(spark, monkeypatch):
     """A bitmap that marks everything changes the work, not the counts."""
     rows = corpus()
     docs = spark.createDataFrame([(i, t, g, 3, "s", "p") for i, (t, g) in enumerate(rows)], DOC)
-    full = spark.sparkContext.broadcast(np.full((1 << P.FILTER) // 64, A.NONE))
-    monkeypatch.setattr(P, "_bitmap", lambda *a: spark.sparkContext.broadcast(full.value))
+    full = np.full((1 << bits.BITS) // 64, A.NONE)
+    monkeypatch.setattr(P, "bitmap", lambda names: spark.sparkContext.broadcast(full))
     found = P.phrase_counts(docs, Scratch(spark, "test"))
     got = {(r["lang"], tuple(r["phrase"].split(" ")) if r["n"] else ()): r["c"] for r in found.collect()}
     counts, total = brute_counts(rows, 3)
@@ -137,6 +138,15 @@ def test_equal_fingerprints_are_told_apart(spark, monkeypatch):
     assert got == {w: c for (_, w), c in want.items()}
 
 
+def test_bitmap(spark):
+    names = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
+    for size in (20, 26):
+        found = bits.bitmap(spark.createDataFrame([(int(h),) for h in names[:2000]], "h long"), size).value
+        hit = bits.marked(found, names.view(np.uint64))
+        assert hit[:2000].all() and found.nbytes == (1 << size) // 8
+        assert hit[2000:].mean() < 0.05
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_sql(spark):
     duckdb = pytest.importorskip("duckdb")
