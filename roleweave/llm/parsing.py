@@ -5,7 +5,9 @@ Texts are parsed at content-defined anchors (rolling-hash minima, see
 least one anchor whose whole neighbourhood lies inside it.  So
 
 1. the neighbourhoods of all anchors are counted (the dictionary); a window
-   that holds a neighbourhood found once cannot occur again and is settled;
+   that holds a neighbourhood found once cannot occur again and is settled.
+   The names found again go to the tasks as a bitmap of fixed size: what it lets
+   through by chance is settled by the counts of step 2;
 2. the other windows form groups: consecutive windows that hold the same
    anchors.  A group has two names: its core, from the first to the last of
    these neighbourhoods, which all its windows share, and its whole, from the
@@ -37,6 +39,7 @@ from pyspark.sql.types import StructType
 
 from . import arrays as A
 from .base import Scratch, row_key
+from .bits import bitmap, marked
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,9 @@ class Windows:
         return A.word_parse(words, self.k), words
 
 
-def _anchors(spec: Windows, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _anchors(spec: Windows, ordered: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Names of the anchors' neighbourhoods: with their number in a slice of texts, or, ordered, with the text's place."""
+
     def run(batches):
         for batch in batches:
             data, offsets = A.utf8(batch.column("text"))
@@ -74,35 +79,27 @@ def _anchors(spec: Windows, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBa
                 parse, _ = spec.parse(data, offsets[lo : hi + 1])
                 if not len(parse.at):
                     continue
-                rows = pa.array(parse.text + lo)
-                columns = {
-                    "h": A.longs(parse.neighbourhoods()),
-                    "j": pa.array((np.arange(len(parse.at)) - parse.bounds[parse.text]).astype(np.int32)),
-                    "at": pa.array((parse.at - parse.starts[parse.text]).astype(np.int32)),
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [columns[n] if n in columns else batch.column(n).take(rows) for n in schema.names], schema=schema
-                )
+                names = parse.neighbourhoods()
+                if ordered:
+                    columns = [A.longs(names), batch.column("ord").take(pa.array(parse.text + lo))]
+                else:
+                    names, count = np.unique(names, return_counts=True)
+                    columns = [A.longs(names), A.longs(count)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _groups(spec: Windows, parse: A.Parse, t: int, marks: dict[str, np.ndarray]):
-    """Groups of windows of text ``t`` that may occur again: first and last start, core, whole."""
+def _groups(spec: Windows, parse: A.Parse, t: int, known: np.ndarray):
+    """Groups of windows of text ``t`` that may occur again: first and last start, core.  ``known`` tells of each anchor whether it may."""
     lo, hi = parse.bounds[t], parse.bounds[t + 1]
     k, n, m, s = spec.k, spec.units, int(parse.counts[t]), parse.starts[t]
     at = parse.at[lo:hi] - s
     if m < n or not len(at):
         return None
-    names = parse.runs(parse.at[lo:hi] - k + 1, parse.at[lo:hi] + k).view(np.int64)
-    j = marks["j"]
-    ok = j < len(at)  # rows of equal key may differ: places and names are checked against this text
-    ok[ok] = (at[j[ok]] == marks["at"][ok]) & (names[j[ok]] == marks["h"][ok])
-    known = np.zeros(len(at), np.int64)
-    known[j[ok]] = 1
     i = np.arange(m - n + 1)
     a, b = np.searchsorted(at, i + k - 1), np.searchsorted(at, i + n - k, "right")
-    total = np.concatenate(([0], np.cumsum(known)))
+    total = np.concatenate(([0], np.cumsum(known[lo:hi])))
     i, a, b = (x[total[b] - total[a] == b - a] for x in (i, a, b))
     if not len(i):
         return None
@@ -112,23 +109,21 @@ def _groups(spec: Windows, parse: A.Parse, t: int, marks: dict[str, np.ndarray])
     return i[first], i[last], core.view(np.int64)
 
 
-def _parsed(spec: Windows, ordered: bool, schema: pa.Schema):
+def _parsed(spec: Windows, ordered: bool, dictionary, schema: pa.Schema):
     """Each text with its groups; of a text without any, only the digest goes on."""
 
     def run(batches):
         for batch in batches:
             data, offsets = A.utf8(batch.column("text"))
-            marks = A.Lists(batch.column("marks"))
             owners = batch.column("ord").is_valid().to_pylist() if ordered else [True] * len(batch)
             out = {n: [None] * len(batch) for n in ("text", "digest", "n", "i0", "i1", "core", "w1", "w2")}
             for lo, hi in A.slices(offsets):
-                parse = words = None
-                if spec.kind == "words" or marks.filled[lo:hi].any():
-                    parse, words = spec.parse(data, offsets[lo : hi + 1])
+                parse, words = spec.parse(data, offsets[lo : hi + 1])
+                known = marked(dictionary.value, parse.neighbourhoods()).astype(np.int64)
                 for r in range(lo, hi):
                     raw = data[offsets[r] : offsets[r + 1]]
                     out["n"][r] = len(raw) if words is None else int(words.bounds[r - lo + 1] - words.bounds[r - lo])
-                    groups = _groups(spec, parse, r - lo, marks.fields(r)) if marks.filled[r] and owners[r] else None
+                    groups = _groups(spec, parse, r - lo, known) if owners[r] else None
                     if groups is None:
                         kept = raw if words is None else b" ".join(raw.tobytes().split())
                         out["digest"][r] = hashlib.sha256(kept).hexdigest()
@@ -244,19 +239,19 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     rank = ["ord"] if ordered else []
     docs = docs.select("id", "text", row_key("id", "text").alias("key"), *[F.col("id").alias(c) for c in rank])
 
-    schema, arrow = _schema("key ord", docs, {"h": "long", "j": "int", "at": "int"})
-    anchors = scratch.write(docs.mapInArrow(_anchors(spec, arrow), schema), "anchors")
-    counts = [F.min("ord").alias("lo"), F.max("ord").alias("hi")] if ordered else [F.count("*").alias("n")]
+    schema, arrow = _schema("", docs, {"h": "long"} | ({"ord": docs.schema["ord"].dataType.simpleString()} if ordered else {"n": "long"}))
+    anchors = docs.mapInArrow(_anchors(spec, ordered, arrow), schema)
+    counts = [F.min("ord").alias("lo"), F.max("ord").alias("hi")] if ordered else [F.sum("n").alias("n")]
     again = F.col("lo") < F.col("hi") if ordered else F.col("n") > 1
     dictionary = scratch.write(anchors.groupBy("h").agg(*counts).filter(again).select("h"), "dictionary")
-    marks = anchors.join(dictionary, "h").groupBy("key").agg(F.collect_set(F.struct("j", "at", "h")).alias("marks"))
-    marks = scratch.write(marks, "marks")
-    scratch.drop(anchors, dictionary)
+    known = bitmap(dictionary)
+    scratch.drop(dictionary)
 
     more = {n: "array<int>" for n in ("i0", "i1")} | {n: "array<long>" for n in ("core", "w1", "w2")}
     schema, arrow = _schema("id key ord", docs, {"text": "binary", "digest": "string", "n": "long", **more})
-    work = scratch.write(docs.join(marks, "key", "left").mapInArrow(_parsed(spec, ordered, arrow), schema), "work")
-    scratch.drop(marks)
+    work = scratch.write(docs.mapInArrow(_parsed(spec, ordered, known, arrow), schema), "work")
+    known.destroy()
+    counts = counts if ordered else [F.count("*").alias("n")]
 
     groups = work.filter("i0 is not null").select("key", *rank, F.explode(F.arrays_zip(*more)).alias("g")).select("key", *rank, "g.*")
     whole = ["core", "w1", "w2"]
@@ -285,11 +280,14 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
         all_found = found.select("key", "win", "f1").union(same)
     else:
         all_found = found
-    marked = all_found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
-    ends = scratch.write(settled.join(marked, "key", "full"), "ends")
+    places = all_found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
+    ends = scratch.write(settled.join(places, "key", "full"), "ends")
     scratch.drop(wholes, windows, names, *([rest, found] if ordered else []))
 
     more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
     schema, arrow = _schema("id n", work, more)
-    last = work.select("id", "key", "n", "text", "digest", "w1").join(ends, "key", "left")
-    return last.mapInArrow(_finish(spec, arrow), schema)
+    cut = work.filter("i0 is not null").select("id", "key", "n", "text", "digest", "w1").join(ends, "key", "left")
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("spans", more["spans"]), ("kept", "binary"))]
+    whole = work.filter("i0 is null").select("id", "n", F.lit(0).cast("long").alias("n_removed"), *none, F.col("digest").alias("kept_sha256"))
+    whole = whole.withColumn("spans", F.array().cast(more["spans"]))
+    return cut.mapInArrow(_finish(spec, arrow), schema).unionByName(whole)
