@@ -111,6 +111,11 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more; other frames are left alone."""
     for df in tables:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roleweave.operators import coefficients as co
 from roleweave.operators import constraints as cs
 from roleweave.plans import evaluate, sentiment
+from roleweave.plans import forms as pf
 
 OFF = 0.0001
 TEACHER, STUDENT = (2.45, 1.75, 0.29), (1.49, 0.31, 0.75)
@@ -127,7 +128,7 @@ def test_chain_arithmetic_equals_columns(spark):
             if f["target"] >= 0:
                 by_target.setdefault(f["target"], []).append(f)
         for t, fs in by_target.items():
-            seen = sentiment._Observed(t, fs)
+            seen = pf.Observed(t, fs)
             for j, d in enumerate("epa"):
                 w, wx = seen.observe(values, j, 1.0, 1e-4)
                 a, b = got.get((user["user_id"], t, d), (0.0, 0.0))
