@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,14 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def bitmap(names: DataFrame, bits: int = BITS):
-    """Broadcast bitmap of the column ``h`` of ``names``: ``2 ** bits`` bits, whatever their number."""
-    place = F.shiftrightunsigned("h", 64 - bits)
-    marked = names.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit"))
-    words = marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    """Broadcast bitmap of the column ``h`` of ``names``: ``2 ** bits`` bits, whatever their number.
+
+    A name sets two bits, told by its upper and its lower end.
+    """
+    upper, lower = F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    places = names.select(F.explode(F.array(upper, lower)).alias("p"))
+    set_bits = places.select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    words = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     words = words.withColumn("segment", F.floor(F.col("word") / SEGMENT).cast("int"))
     parts = words.groupBy("segment").applyInPandas(_dense, "segment int, words binary").collect()
     out = np.zeros((1 << bits) // 64, np.int64)
@@ -38,5 +43,22 @@ def bitmap(names: DataFrame, bits: int = BITS):
 
 def marked(words: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Which of the names are in the bitmap."""
-    bit = names >> A.U(64 - (64 * len(words)).bit_length() + 1)
-    return (words[(bit >> A.U(6)).astype(np.int64)] >> (bit & A.U(63)) & A.U(1)).astype(bool)
+    bits = (64 * len(words)).bit_length() - 1
+
+    def seen(place: np.ndarray) -> np.ndarray:
+        return (words[(place >> A.U(6)).astype(np.int64)] >> (place & A.U(63)) & A.U(1)).astype(bool)
+
+    found = seen(names >> A.U(64 - bits))
+    found[found] = seen(names[found] & A.U((1 << bits) - 1))
+    return found
+
+
+def rows_of(df: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Rows of ``df`` whose key is among the distinct ``keys``: others are left out before any shuffle, as far as a bitmap tells."""
+    known = bitmap(keys.select(F.col(key).alias("h")))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(known.value, batch.column(key).to_numpy().view(A.U))))
+
+    return df.mapInArrow(run, df.schema).join(keys, key)

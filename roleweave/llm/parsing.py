@@ -7,7 +7,8 @@ least one anchor whose whole neighbourhood lies inside it.  So
 1. the neighbourhoods of all anchors are counted (the dictionary); a window
    that holds a neighbourhood found once cannot occur again and is settled.
    The names found again go to the tasks as a bitmap of fixed size: what it lets
-   through by chance is settled by the counts of step 2;
+   through by chance is settled by the counts of step 2.  Texts are parsed where
+   they are read; only those asked or cut in a later step are shuffled for it;
 2. the other windows form groups: consecutive windows that hold the same
    anchors.  A group has two names: its core, from the first to the last of
    these neighbourhoods, which all its windows share, and its whole, from the
@@ -39,7 +40,7 @@ from pyspark.sql.types import StructType
 
 from . import arrays as A
 from .base import Scratch, row_key
-from .bits import bitmap, marked
+from .bits import bitmap, marked, rows_of
 
 
 @dataclass(frozen=True)
@@ -110,27 +111,25 @@ def _groups(spec: Windows, parse: A.Parse, t: int, known: np.ndarray):
 
 
 def _parsed(spec: Windows, ordered: bool, dictionary, schema: pa.Schema):
-    """Each text with its groups; of a text without any, only the digest goes on."""
+    """Size, digest and groups of each text."""
 
     def run(batches):
         for batch in batches:
             data, offsets = A.utf8(batch.column("text"))
             owners = batch.column("ord").is_valid().to_pylist() if ordered else [True] * len(batch)
-            out = {n: [None] * len(batch) for n in ("text", "digest", "n", "i0", "i1", "core", "w1", "w2")}
+            out = {n: [None] * len(batch) for n in ("digest", "n", "i0", "i1", "core", "w1", "w2")}
             for lo, hi in A.slices(offsets):
                 parse, words = spec.parse(data, offsets[lo : hi + 1])
                 known = marked(dictionary.value, parse.neighbourhoods()).astype(np.int64)
                 for r in range(lo, hi):
                     raw = data[offsets[r] : offsets[r + 1]]
                     out["n"][r] = len(raw) if words is None else int(words.bounds[r - lo + 1] - words.bounds[r - lo])
+                    kept = raw if words is None else b" ".join(raw.tobytes().split())
+                    out["digest"][r] = hashlib.sha256(kept).hexdigest()
                     groups = _groups(spec, parse, r - lo, known) if owners[r] else None
-                    if groups is None:
-                        kept = raw if words is None else b" ".join(raw.tobytes().split())
-                        out["digest"][r] = hashlib.sha256(kept).hexdigest()
-                        continue
-                    out["text"][r] = raw.tobytes()
-                    out["i0"][r], out["i1"][r], out["core"][r] = groups
-                    out["w1"][r], out["w2"][r] = _names(spec, parse, r - lo, groups[0], groups[1])
+                    if groups is not None:
+                        out["i0"][r], out["i1"][r], out["core"][r] = groups
+                        out["w1"][r], out["w2"][r] = _names(spec, parse, r - lo, groups[0], groups[1])
             yield _batch(batch, out, schema)
 
     return run
@@ -181,39 +180,40 @@ def _windows(spec: Windows, schema: pa.Schema):
 
 
 def _finish(spec: Windows, schema: pa.Schema):
+    """Texts without the windows found."""
+
     def run(batches):
         for batch in batches:
-            get = {n: batch.column(n).to_pylist() for n in ("text", "digest", "n")}
+            get = {n: batch.column(n).to_pylist() for n in ("text", "digest")}
             settled, found, w1 = (A.Lists(batch.column(n)) for n in ("settled", "found", "w1"))
-            out = {"spans": [], "kept": [], "kept_sha256": [], "n_removed": []}
-            for r, raw in enumerate(get["text"]):
-                starts = ends = np.zeros(0, np.int64)
-                if raw is not None and (settled.filled[r] or found.filled[r]):
-                    s, f = settled.fields(r), found.fields(r)
-                    own = np.isin(s["w1"], w1[r])
-                    win = f["win"]
-                    if len(win):
-                        parse, _ = spec.parse(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                        win = win[win + spec.units <= parse.counts[0]]
-                        names, _ = _names(spec, parse, 0, win, win)
-                        win = win[np.isin(A.pair_hash(names, win), A.pair_hash(f["f1"], f["win"]))]
-                    gone = A.cover(
-                        get["n"][r],
-                        np.concatenate((s["i0"][own], win)),
-                        np.concatenate((s["i1"][own], win)) + spec.length,
-                    )
-                    starts, ends = A.spans(gone)
-                if len(starts):
-                    if spec.kind == "bytes":
-                        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    else:
-                        kept = b" ".join(w for w, g in zip(raw.split(), gone) if not g)
-                elif raw is not None:
-                    kept = raw if spec.kind == "bytes" else b" ".join(raw.split())
+            out = {"n": [], "spans": [], "kept": [], "kept_sha256": [], "n_removed": []}
+            for r, text in enumerate(get["text"]):
+                raw = text.encode()
+                words = raw.split() if spec.kind == "words" else raw
+                same = hashlib.sha256(b" ".join(words) if spec.kind == "words" else raw).hexdigest() == get["digest"][r]
+                s, f = settled.fields(r), found.fields(r)
+                own = np.isin(s["w1"], w1[r]) & same  # rows may meet in a key: what was found in another text does not hold
+                win = f["win"] if same else f["win"][:0]
+                if len(win):
+                    parse, _ = spec.parse(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    win = win[win + spec.units <= parse.counts[0]]
+                    names, _ = _names(spec, parse, 0, win, win)
+                    win = win[np.isin(A.pair_hash(names, win), A.pair_hash(f["f1"], f["win"]))]
+                gone = A.cover(
+                    len(words),
+                    np.concatenate((s["i0"][own], win)),
+                    np.concatenate((s["i1"][own], win)) + spec.length,
+                )
+                starts, ends = A.spans(gone)
+                if spec.kind == "bytes":
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                else:
+                    kept = b" ".join(w for w, g in zip(words, gone) if not g)
+                out["n"].append(len(words))
                 out["spans"].append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
                 out["n_removed"].append(int((ends - starts).sum()))
                 out["kept"].append(kept if len(starts) else None)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest() if raw is not None else get["digest"][r])
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             yield _batch(batch, out, schema)
 
     return run
@@ -248,7 +248,7 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     scratch.drop(dictionary)
 
     more = {n: "array<int>" for n in ("i0", "i1")} | {n: "array<long>" for n in ("core", "w1", "w2")}
-    schema, arrow = _schema("id key ord", docs, {"text": "binary", "digest": "string", "n": "long", **more})
+    schema, arrow = _schema("id key ord", docs, {"digest": "string", "n": "long", **more})
     work = scratch.write(docs.mapInArrow(_parsed(spec, ordered, known, arrow), schema), "work")
     known.destroy()
     counts = counts if ordered else [F.count("*").alias("n")]
@@ -270,8 +270,9 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
 
     more = {"win": "int", "f1": "long", "f2": "long"} | ({"i0": "int"} if ordered else {})
     schema, arrow = _schema("key ord", work, more)
-    texts = work.filter("i0 is not null").select("key", *rank, F.col("text").cast("string"))
-    windows = scratch.write(texts.join(asked, "key").mapInArrow(_windows(spec, arrow), schema), "windows")
+    asked = scratch.write(asked, "asked")
+    windows = rows_of(docs.select("key", *rank, "text"), asked).mapInArrow(_windows(spec, arrow), schema)
+    windows = scratch.write(windows, "windows")
     names = scratch.write(windows.groupBy("f1", "f2").agg(*counts).filter(again), "names")
     found = windows.join(names, ["f1", "f2"])
     if ordered:
@@ -282,12 +283,15 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
         all_found = found
     places = all_found.groupBy("key").agg(F.collect_set(F.struct("win", "f1")).alias("found"))
     ends = scratch.write(settled.join(places, "key", "full"), "ends")
-    scratch.drop(wholes, windows, names, *([rest, found] if ordered else []))
+    named = work.select("key", "digest", "w1").join(ends, "key").dropDuplicates(["key"])
+    ends = scratch.write(named, "named")
+    scratch.drop(wholes, asked, windows, names, *([rest, found] if ordered else []))
 
     more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
-    schema, arrow = _schema("id n", work, more)
-    cut = work.filter("i0 is not null").select("id", "key", "n", "text", "digest", "w1").join(ends, "key", "left")
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("spans", more["spans"]), ("kept", "binary"))]
-    whole = work.filter("i0 is null").select("id", "n", F.lit(0).cast("long").alias("n_removed"), *none, F.col("digest").alias("kept_sha256"))
-    whole = whole.withColumn("spans", F.array().cast(more["spans"]))
-    return cut.mapInArrow(_finish(spec, arrow), schema).unionByName(whole)
+    schema, arrow = _schema("id", work, {"n": "long", **more})
+    cut = rows_of(docs.select("key", "id", "text"), ends).mapInArrow(_finish(spec, arrow), schema)
+    whole = work.join(ends.select("key"), "key", "left_anti").select(
+        "id", "n", F.lit(0).cast("long").alias("n_removed"), F.array().cast(more["spans"]).alias("spans"),
+        F.lit(None).cast("binary").alias("kept"), F.col("digest").alias("kept_sha256"),
+    )
+    return cut.unionByName(whole)
