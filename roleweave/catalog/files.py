@@ -62,7 +62,9 @@ def hashtag_file(spark, d):
 
 @proof("word_list_files", "S3 J7 J12", "WITH " + frames.COUNTS_SQL + " SELECT DISTINCT w AS term FROM counts WHERE docs >= 20")
 def word_list_files(spark, d):
-    stop = frames.counts(spark, d).where("docs >= 20").select(F.concat(F.upper("w"), F.lit(" ")).alias("value"))
+    # Upper case of ASCII letters only: other letters may not come back from it.
+    upper = F.translate("w", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    stop = frames.counts(spark, d).where("docs >= 20").select(F.concat(upper, F.lit(" ")).alias("value"))
     path = scratch_path(spark, "words")
     stop.write.text(path)
     return lexicons.read_word_list(spark, path)

@@ -169,11 +169,30 @@ TOKENS_SQL = """tok AS (
           (['N','V','A','D','^','S'])[CAST((length(w)+(i-1)%24+1)%6+1 AS INT)] AS pos FROM words))"""
 
 
-def matched_tokens(spark: SparkSession, sf_dir: str, unknown_only: bool = False) -> DataFrame:
+# Phrase entries: pairs of words of at most three letters that occur often next
+# to each other; such words are no identities.
+PHRASE_RULE = 12
+
+
+def phrase_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, id, idx, e, p, a of the entries of two words."""
+
+    def build():
+        t = matching.neighbour_token(tokens(spark, sf_dir), 1, out="next").where("length(form) <= 3 AND length(next) <= 3")
+        n = t.groupBy(F.concat_ws(" ", "form", "next").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= PHRASE_RULE)
+        e, p, a = epa(F.length("term"), F.ascii("term"), F.ascii(F.right("term", F.lit(1))))
+        return n.select("term", F.concat(F.lit("z_"), "term").alias("id"), F.lit(None).cast("int").alias("idx"), (e + 0.0001).alias("e"), (p + 0.0001).alias("p"), (a + 0.0001).alias("a"))
+
+    return kept("phrase_lexicon", spark, sf_dir, build)
+
+
+def matched_tokens(spark: SparkSession, sf_dir: str, unknown_only: bool = False, merged: bool = False) -> DataFrame:
     """Tokens with ``id_forms``, ``sent_forms``, ``negated``, ``is_address``, ``mention``.
 
-    ``unknown_only`` keeps the identities that have no lexicon value.
+    ``unknown_only`` keeps the identities that have no lexicon value;
+    ``merged`` makes entries of two words one token before anything is matched.
     """
+    tag = ("new_" if unknown_only else "") + ("merged_" if merged else "")
 
     def build():
         t = tokens(spark, sf_dir)
@@ -181,17 +200,20 @@ def matched_tokens(spark: SparkSession, sf_dir: str, unknown_only: bool = False)
         ids = identities(spark, sf_dir).select("term", "id", "idx", "e", "p", "a")
         if unknown_only:
             ids = ids.join(lex.select("term"), "term", "left_anti")
-        vocab = kept("vocab", spark, sf_dir, lambda: matching.vocabulary(t))
-        tag = "new_" if unknown_only else ""
+        if merged:
+            entries = phrase_lexicon(spark, sf_dir)
+            t, lex = kept("merged_tokens", spark, sf_dir, lambda: matching.merge_phrases(tokens(spark, sf_dir), entries)), lex.unionByName(entries)
+        group = "merged_" if merged else ""
+        vocab = kept(group + "vocab", spark, sf_dir, lambda: matching.vocabulary(t))
         id_vocab = kept(tag + "id_vocab", spark, sf_dir, lambda: matching.match_vocabulary(vocab, ids))
-        lex_vocab = kept("lex_vocab", spark, sf_dir, lambda: matching.match_vocabulary(vocab, lex))
+        lex_vocab = kept(group + "lex_vocab", spark, sf_dir, lambda: matching.match_vocabulary(vocab, lex))
         # Neighbours first: that shuffle then carries plain tokens only.
         t = matching.exclude_address_forms(matching.negated(t), STAND_IN_ADDRESS)
         t = matching.match_lexicon(matching.match_lexicon(t, id_vocab, "id_forms"), lex_vocab, "sent_forms")
         cond = (F.size("id_forms") > 0) & matching.mention_class(F.col("pos"), F.col("ptb")) & ~F.col("is_address")
         return t.withColumn("mention", cond)
 
-    return kept("matched_new" if unknown_only else "matched", spark, sf_dir, build)
+    return kept(tag + "matched", spark, sf_dir, build)
 
 
 # Forms of address of the stand-in text: words next to other words.
@@ -227,7 +249,26 @@ men AS (SELECT *, id_term IS NOT NULL AND (pos IN ('N','^','A','S','Z','#') OR l
 )
 
 
-def matched_sql(unknown_only: bool = False) -> str:
+MERGED_SQL = """pairs AS (SELECT term, length(term) AS len, ascii(term) AS c0, ascii(right(term, 1)) AS c1 FROM (
+   SELECT a.form || ' ' || b.form AS term FROM tok0 a JOIN tok0 b ON b.unit_id = a.unit_id AND b.id = a.id + 1
+   WHERE length(a.form) <= 3 AND length(b.form) <= 3 GROUP BY 1 HAVING count(*) >= {RULE})),
+lex AS (SELECT * FROM lex0 UNION ALL SELECT term, 'z_' || term, e + 0.0001, p + 0.0001, a + 0.0001 FROM (SELECT term, {EPA} FROM pairs)),
+hit AS (SELECT a.unit_id, a.id FROM tok0 a JOIN tok0 b ON b.unit_id = a.unit_id AND b.id = a.id + 1 JOIN pairs p ON p.term = a.form || ' ' || b.form),
+run AS (SELECT *, id - row_number() OVER (PARTITION BY unit_id ORDER BY id) AS g FROM hit),
+got AS (SELECT unit_id, id FROM (SELECT *, (id - min(id) OVER (PARTITION BY unit_id, g)) % 2 AS odd FROM run) WHERE odd = 0),
+grp AS (SELECT t.*, CASE WHEN p.id IS NOT NULL THEN p.id ELSE t.id END AS g FROM tok0 t LEFT JOIN got p ON p.unit_id = t.unit_id AND p.id = t.id - 1),
+mrg AS (SELECT unit_id, g, string_agg(form, ' ' ORDER BY id) AS form, string_agg(lemma, ' ' ORDER BY id) AS lemma, string_agg(pos, ' ' ORDER BY id) AS tags,
+   arg_min(user_id, id) AS user_id, arg_min(lang, id) AS lang, arg_min(ptb, id) AS ptb, arg_min(label, id) AS label FROM grp GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY g) AS id FROM mrg),
+lnk AS (SELECT c.unit_id, c.g, c.id, CASE WHEN c.head > 0 THEN coalesce(h.g, -1) ELSE c.head END AS hg FROM grp c LEFT JOIN grp h ON h.unit_id = c.unit_id AND h.id = c.head),
+hd AS (SELECT unit_id, g, arg_min(hg, id) AS hg FROM lnk WHERE hg <> g GROUP BY ALL),
+tok AS (SELECT n.unit_id, n.user_id, n.lang, n.id, n.form, n.lemma, right(n.tags, 1) AS pos, n.tags, n.ptb, n.label,
+   CASE WHEN d.hg > 0 THEN x.id ELSE d.hg END AS head
+  FROM numbered n LEFT JOIN hd d USING (unit_id, g) LEFT JOIN numbered x ON x.unit_id = n.unit_id AND x.g = d.hg)""".replace("{RULE}", str(PHRASE_RULE)).replace("{EPA}", EPA_SQL)
+
+
+def matched_sql(unknown_only: bool = False, merged: bool = False) -> str:
+    """CTEs up to ``men``; with ``merged`` its ``pos`` is the last tag, and ``tags`` has all of them."""
     quoted = ",".join("'" + w.replace("'", "''") + "'" for w in NEGATION_WORDS)
     sql = MATCHED_SQL.replace("{NEG}", quoted)
     if unknown_only:
@@ -235,6 +276,9 @@ def matched_sql(unknown_only: bool = False) -> str:
         sql = sql.replace("idents AS (", "every AS (", 1).replace(
             ",\ntok AS (", ",\nidents AS (SELECT * FROM every WHERE term NOT IN (SELECT term FROM lex)),\ntok AS (", 1
         )
+    if merged:
+        rest = sql[sql.index(",\nidm AS ") :]
+        sql = LEXICONS_SQL.replace(",\nlex AS (", ",\nlex0 AS (") + ",\n" + TOKENS_SQL.replace("tok AS (", "tok0 AS (", 1) + ",\n" + MERGED_SQL + rest
     return sql
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import aggregates as ag
-from ..operators import joins, lexicon as lx
+from ..operators import joins, lexicon as lx, phrases
 from ..operators.ranking import stable_index
 from . import frames
 from .base import proof
@@ -15,13 +15,13 @@ C = "WITH " + frames.COUNTS_SQL
 L = "WITH " + frames.LEXICONS_SQL
 
 TWO_SQL = frames.WORDS_SQL + """,
-lc AS (SELECT w AS term, lang = 'en' AS en, length(w) AS len, ascii(w) AS c0, ascii(right(w,1)) AS c1, count(*) AS n FROM words GROUP BY ALL),
-one AS (SELECT term, """ + frames.EPA_SQL + """ FROM lc WHERE en AND n >= 2),
-two AS (SELECT term, a AS e, e AS p, p AS a FROM (SELECT term, """ + frames.EPA_SQL + """ FROM lc WHERE NOT en AND n >= 2))"""
+lc AS (SELECT w AS term, lang = 'en' AS en, length(w) AS len, ascii(w) AS c0, ascii(right(w,1)) AS c1 FROM words GROUP BY ALL),
+one AS (SELECT term, """ + frames.EPA_SQL + """ FROM lc WHERE en),
+two AS (SELECT term, a AS e, e AS p, p AS a FROM (SELECT term, """ + frames.EPA_SQL + """ FROM lc WHERE NOT en))"""
 
 
 def two_lexicons(spark, d):
-    w = frames.words(spark, d, "lang").groupBy("w", (F.col("lang") == "en").alias("en")).agg(F.count("*").alias("n")).where("n >= 2")
+    w = frames.words(spark, d, "lang").select("w", (F.col("lang") == "en").alias("en")).distinct()
     e, p, a = frames.epa(F.length("w"), F.ascii("w"), F.ascii(F.right("w", F.lit(1))))
     one = w.where("en").select(F.col("w").alias("term"), e.alias("e"), p.alias("p"), a.alias("a"))
     two = w.where("not en").select(F.col("w").alias("term"), a.alias("e"), e.alias("p"), p.alias("a"))
@@ -72,11 +72,11 @@ def lexicon_without_stopwords(spark, d):
 
 
 @proof("terms_without_digits", "X2", """
-SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
+SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\pL0-9]+')) AS w FROM documents)
 WHERE NOT regexp_matches(w, '[0-9]') GROUP BY w""")
 def terms_without_digits(spark, d):
     docs = frames.table(spark, d, "documents", ["text"], wide=True)
-    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\pL0-9]+"), F.lit(0))).alias("term"))
     return w.where(~fx.has_digit(F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -173,6 +173,51 @@ def text_scores(spark, d):
     return rounded(doc_scores(spark, d), ["score"])
 
 
+# Entries of two and three tokens that occur often next to each other, signs included.
+PHRASES_SQL = """raw AS (SELECT doc_id, regexp_extract_all(lower(text), '[ \\t\\n\\f\\r]*(?:\\pL+|\\pN+|[^ \\t\\n\\f\\r\\pL\\pN])') AS ts FROM documents),
+tk0 AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM raw),
+tk AS (SELECT doc_id, i, regexp_replace(t, '^[ \\t\\n\\f\\r]+', '') AS w, regexp_matches(t, '^[ \\t\\n\\f\\r]') AS gap FROM tk0),
+nx AS (SELECT *, lead(w, 1) OVER o AS w2, lead(gap, 1) OVER o AS gap2, lead(w, 2) OVER o AS w3, lead(gap, 2) OVER o AS gap3 FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, w, w2, CAST(NULL AS VARCHAR) AS w3, w || CASE WHEN gap2 THEN ' ' ELSE '' END || w2 AS term, 2 AS len FROM nx WHERE w2 IS NOT NULL
+  UNION ALL SELECT doc_id, i, w, w2, w3, w || CASE WHEN gap2 THEN ' ' ELSE '' END || w2 || CASE WHEN gap3 THEN ' ' ELSE '' END || w3, 3 FROM nx WHERE w3 IS NOT NULL),
+phr AS (SELECT term, len, w, w2, w3, (length(term) * 7 % 41 - 20) / 10.0 AS value FROM runs GROUP BY ALL HAVING count(*) >= 40 * (len - 1)),
+one AS (SELECT term AS w, e AS value FROM lex),
+add AS (SELECT p.term, p.len, p.value - coalesce(a.value, 0) - coalesce(b.value, 0) - coalesce(c.value, 0) AS value
+  FROM phr p LEFT JOIN one a ON a.w = p.w LEFT JOIN one b ON b.w = p.w2 LEFT JOIN one c ON c.w = p.w3),
+occ AS (SELECT doc_id, i, max(r.len) AS len, arg_max(a.value, r.len) AS value FROM runs r JOIN add a USING (term, len) GROUP BY ALL),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, i + len AS stop FROM occ),
+ptr AS (SELECT a.doc_id, a.k, a.value, b.k AS nk FROM num a ASOF LEFT JOIN num b ON a.doc_id = b.doc_id AND a.stop <= b.i),
+acc AS (SELECT doc_id, k, value, nk FROM ptr WHERE k = 1 UNION ALL SELECT p.doc_id, p.k, p.value, p.nk FROM acc JOIN ptr p ON p.doc_id = acc.doc_id AND p.k = acc.nk),
+sums AS (SELECT doc_id, sum(value) AS s FROM (SELECT doc_id, value FROM acc UNION ALL SELECT t.doc_id, o.value FROM tk t JOIN one o ON o.w = t.w) GROUP BY 1)"""
+
+
+def phrase_entries(spark, d):
+    def build():
+        docs = frames.table(spark, d, "documents", ["doc_id", "text"], wide=True)
+        tokens = docs.select(phrases.text_tokens(F.lower("text")).alias("t"))
+        glue = lambda x: F.concat(F.when(x["gap"], " ").otherwise(""), x["w"])
+
+        def run(n):
+            starts = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
+            more = lambda i: F.concat(F.get("t", i)["w"], *[glue(F.get("t", i + j)) for j in range(1, n)])
+            return tokens.select(F.explode(F.transform(starts, more)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(f"n >= {40 * (n - 1)}")
+
+        both = run(2).unionByName(run(3))
+        return both.select("term", ((F.length("term") * 7 % 41 - 20) / 10.0).alias("value"))
+
+    return frames.kept("phrase_entries", spark, d, build)
+
+
+@proof("text_scores_with_phrases", "X10 T2", "WITH RECURSIVE " + frames.LEXICONS_SQL + ",\n" + PHRASES_SQL + """
+SELECT doc_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15.0), 6) AS score FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN sums USING (doc_id)""")
+def text_scores_with_phrases(spark, d):
+    """Longer entries, with spaces and signs, take the place of the words they hold."""
+    docs = frames.table(spark, d, "documents", ["doc_id", "text"], wide=True)
+    words = frames.lexicon(spark, d).select("term", F.col("e").alias("value"))
+    valence = words.unionByName(phrase_entries(spark, d))
+    return rounded(lx.lexicon_compound(docs, valence, "doc_id", "text"), ["score"])
+
+
 @proof("user_identity_means", "A2 X17", "WITH " + SCORES_SQL + " SELECT source, identity, round(val, 6) AS val FROM per")
 def user_identity_means(spark, d):
     return rounded(per_user(spark, d), ["val"])

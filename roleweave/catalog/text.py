@@ -159,18 +159,17 @@ hd AS (SELECT unit_id, g, arg_min(hg, id) AS hg FROM lnk WHERE hg <> g GROUP BY
 SELECT n.unit_id, n.id, n.form, n.pos, CASE WHEN d.hg > 0 THEN x.id ELSE d.hg END AS head
 FROM num n LEFT JOIN hd d USING (unit_id, g) LEFT JOIN num x ON x.unit_id=n.unit_id AND x.g=d.hg""")
 def phrase_merge(spark, d):
-    merged = matching.merge_phrases(frames.tokens(spark, d), frequent_pairs(spark, d), 2)
+    merged = matching.merge_phrases(frames.tokens(spark, d), frequent_pairs(spark, d))
     return merged.select("unit_id", "id", "form", "pos", F.col("head").cast("long").alias("head"))
 
 
-@proof("phrase_tokens_matched", "T1 T2 X5", None)
+@proof("phrase_tokens_matched", "T1 T2 X5", "WITH " + frames.matched_sql(merged=True) + """
+SELECT unit_id, id, form, tags AS pos, coalesce(sent_term, '') AS forms, coalesce(id_term, '') AS identities, negated FROM mt""")
 def phrase_tokens_matched(spark, d):
-    """The ladder on merged tokens: parts of a phrase, or their joined entry."""
-    merged = matching.merge_phrases(frames.tokens(spark, d), frequent_pairs(spark, d), 2)
-    lex = frames.lexicon(spark, d)
-    vocab = matching.match_vocabulary(matching.vocabulary(merged), lex)
-    both = matching.match_lexicon(merged.where("n_parts > 1"), vocab)
-    return both.select("unit_id", "id", "form", F.array_join(F.transform("forms", lambda f: f["term"]), "|").alias("forms"))
+    """The ladder on tokens of which phrases were merged."""
+    t = frames.matched_tokens(spark, d, merged=True)
+    terms = lambda c: F.array_join(F.transform(c, lambda f: f["term"]), "|")
+    return t.select("unit_id", "id", "form", "pos", terms("sent_forms").alias("forms"), terms("id_forms").alias("identities"), "negated")
 
 
 @proof("phrase_parts", "X5 J13", """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed_values import NEGATION_WORDS
 from ..functions.text import split_phrase, strip_plural
+from . import phrases
 
 UNIT = "unit_id"
 
@@ -155,44 +156,27 @@ def match_lexicon(tokens: DataFrame, matched: DataFrame, out: str = "forms") ->
 # -- phrases ----------------------------------------------------------------
 
 
-def phrase_spans(tokens: DataFrame, phrases: DataFrame, max_len: int | None = None) -> DataFrame:
+def phrase_spans(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Accepted spans ``(unit, start, len)``: longest at a start, leftmost first.
 
-    ``max_len`` is the word count of the longest entry, measured if not given.
+    ``entries`` holds terms; those of several words, one space apart, are looked for.
     """
-    if max_len is None:
-        max_len = phrases.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 2
-    w = Window.partitionBy(UNIT).orderBy("id")
     text = F.lower("form")
-    grams = []
-    for n in range(2, max_len + 1):
-        words = [text] + [F.lead(text, i).over(w) for i in range(1, n)]
-        grams.append(F.struct(F.lit(n).alias("len"), F.when(words[-1].isNotNull(), F.concat_ws(" ", *words)).alias("term")))
-    cands = tokens.select(UNIT, "id", F.array(*grams).alias("grams"))
-    cands = cands.select(UNIT, "id", F.explode("grams").alias("g"))
-    cands = cands.select(UNIT, "id", F.col("g.len"), F.col("g.term")).where(F.col("term").isNotNull())
-    known = phrases.select("term").where(F.contains(F.col("term"), F.lit(" "))).distinct()
-    starts = cands.join(known, "term", "left_semi").groupBy(UNIT, "id").agg(F.max("len").alias("len"))
-    per_unit = starts.groupBy(UNIT).agg(F.sort_array(F.collect_list(F.struct("id", "len"))).alias("m"))
-    none = F.slice(F.col("m"), 1, 0)
-    greedy = F.aggregate(
-        "m",
-        F.struct(F.lit(0).alias("free"), none.alias("got")),
-        lambda acc, s: F.when(
-            s["id"] >= acc["free"],
-            F.struct((s["id"] + s["len"]).alias("free"), F.concat(acc["got"], F.array(s)).alias("got")),
-        ).otherwise(acc),
-        lambda acc: acc["got"],
-    )
-    return per_unit.select(UNIT, F.explode(greedy).alias("s")).select(UNIT, F.col("s.id").alias("start"), F.col("s.len").alias("len"))
+    after = F.lead(text).over(Window.partitionBy(UNIT).orderBy("id"))
+    pairs = tokens.select(UNIT, "id", phrases.pair(text, F.lit(True), after).alias("pair")).where("pair IS NOT NULL")
+    words = F.transform(F.split("term", " "), lambda w: F.struct(w.alias("w"), F.lit(True).alias("gap")))
+    known = phrases.entry_pairs(entries.select("term").distinct().select("term", words.alias("tokens")))
+    places = phrases.standing(pairs.join(known, "pair"), [UNIT], ["term"])
+    per_unit = places.groupBy(UNIT).agg(F.collect_list(F.struct("start", "len")).alias("m"))
+    return per_unit.select(UNIT, F.explode(phrases.leftmost(F.col("m"))).alias("s")).select(UNIT, "s.start", "s.len")
 
 
-def merge_phrases(tokens: DataFrame, phrases: DataFrame, max_len: int | None = None) -> DataFrame:
+def merge_phrases(tokens: DataFrame, entries: DataFrame) -> DataFrame:
     """Merge phrase entries into one token and renumber ids and heads from 1.
 
     The merged head is that of the first part whose head lies outside it.
     """
-    spans = phrase_spans(tokens, phrases, max_len)
+    spans = phrase_spans(tokens, entries)
     member = spans.select(
         UNIT, F.col("start").alias("_start"), F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("id")
     )

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from ..session import discard, materialize
+
+BINS = 256
 
 
 def bucketed_row_number(
@@ -80,68 +82,65 @@ def split_train_test(
     return ranked.withColumn("split", split).drop("_rn", "_n", "_shuffle")
 
 
+def balanced_bins(rows: DataFrame, key: str, value: str, bins: int = BINS) -> DataFrame:
+    """Add ``_bin``, which follows the order of ``value`` and holds about as many rows as any other bin of the key.
+
+    Borders come from a mergeable quantile sketch of each key, so a long tail
+    fills no bin more than another.  ``bins`` is a power of two.
+    """
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    borders = rows.groupBy(key).agg(F.percentile_approx(value, shares, 8 * bins).alias("_borders"))
+    depth = bins.bit_length() - 1
+
+    def halve(at: Column, step: Column) -> Column:
+        width = F.element_at(F.array(*[F.lit(bins >> (i + 1)) for i in range(depth)]), step + 1)
+        return F.when(F.get("_borders", at + width - 1) <= F.col(value), at + width).otherwise(at)
+
+    place = F.aggregate(F.sequence(F.lit(0), F.lit(depth - 1)), F.lit(0), halve)
+    return rows.join(borders, key).withColumn("_bin", place).drop("_borders")
+
+
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = BINS
+    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = BINS, small: int = 200_000
 ) -> DataFrame:
     """Exact interpolated quantiles per key: columns ``keys, prob, quantile``.
 
-    Equal values are counted together first.  A histogram finds the bins that
-    hold the wanted ranks; only those bins are sorted.
+    Equal values are counted together first.  While a group of values is not
+    ``small``, it is cut into balanced bins, exact counts tell which bins hold
+    the wanted ranks, and only those go on; the rest is a window over small
+    groups.  Null values do not count; null keys are a key like any other.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    span = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n")
-    )
-    joined = _join_keys(counts, span, keys)
-    width = F.col("_hi") - F.col("_lo")
-    bin_no = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo")) / width * bins), F.lit(bins - 1))
-    )
-    binned = joined.withColumn("_bin", bin_no.cast("int"))
-    hist = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_upto", F.sum("_bc").over(run))
-    ranks = F.array(
-        *[
-            F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("_n") - 1)).alias("pos"))
-            for p in probs
-        ]
-    )
-    wanted = (
-        hist.withColumn("_r", F.explode(ranks))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_r.pos"), F.ceil("_r.pos")))))
-        .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_bc")))
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.struct(*keys, F.lit(0).alias("_all")).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    rows = materialize(counts.withColumn("_g", F.struct("_k", F.lit("").alias("path"))), "values")
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos")) for p in probs])
+    wanted = rows.groupBy("_g").agg(F.sum("_c").alias("_n")).select("_g", F.explode(ranks).alias("_r"))
     wanted = wanted.select(
-        *keys, "_bin", "_rank", F.col("_r.prob").alias("prob"), F.col("_r.pos").alias("_pos"),
-        (F.col("_upto") - F.col("_bc")).alias("_base"),
-    )
-    # Each wanted bin's values, once, with the first rank they cover.
-    needed = wanted.select(*keys, "_bin", "_base").distinct()
-    inside = _join_keys(binned.select(*keys, "_bin", value, "_c"), needed, [*keys, "_bin"])
-    cum = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_to", F.col("_base") + F.sum("_c").over(cum))
-    on = (F.col("w._bin") == F.col("v._bin")) & (F.col("w._rank") < F.col("v._to"))
-    on = on & (F.col("w._rank") >= F.col("v._to") - F.col("v._c"))
-    for k in keys:
-        on = on & F.col(f"w.{k}").eqNullSafe(F.col(f"v.{k}"))
-    hits = wanted.alias("w").join(inside.alias("v"), on).select(
-        *[F.col(f"w.{k}") for k in keys], "w.prob", "w._rank", "w._pos", F.col(f"v.{value}").alias("_v")
+        "_g", F.col("_r.prob").alias("prob"), F.col("_r.pos").alias("_pos"),
+        F.explode(F.array_distinct(F.array(F.floor("_r.pos"), F.ceil("_r.pos")))).alias("_rank"),
     )
-    low = F.min(F.struct("_rank", "_v"))
-    high = F.max(F.struct("_rank", "_v"))
-    out = hits.groupBy(*keys, "prob").agg(low.alias("_l"), high.alias("_h"), F.first("_pos").alias("_pos"))
+    wanted = materialize(wanted.withColumn("_rel", F.col("_rank")), "ranks")
+    while True:
+        largest = rows.groupBy("_g").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+        if largest is None or largest <= small:
+            break
+        binned = materialize(balanced_bins(rows, "_g", "_v", bins), "bins")
+        hist = binned.groupBy("_g", "_bin").agg(F.sum("_c").alias("_bc"))
+        upto = F.sum("_bc").over(Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+        hist = hist.select("_g", "_bin", "_bc", (upto - F.col("_bc")).alias("_base"))
+        inner = F.struct(F.col("_g._k").alias("_k"), F.concat_ws(".", "_g.path", F.col("_bin").cast("string")).alias("path")).alias("_g")
+        held = wanted.join(hist, "_g").where("_rel >= _base AND _rel < _base + _bc")
+        next_wanted = materialize(held.select(inner, "prob", "_pos", "_rank", (F.col("_rel") - F.col("_base")).alias("_rel")), "ranks")
+        inside = binned.select("_k", "_v", "_c", inner).join(next_wanted.select("_g").distinct(), "_g")
+        next_rows = materialize(inside.select("_k", "_v", "_c", "_g"), "values")
+        discard(rows, wanted, binned)
+        rows, wanted = next_rows, next_wanted
+    cum = Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_to", F.sum("_c").over(cum))
+    hits = wanted.join(placed, "_g").where("_rel < _to AND _rel >= _to - _c")
+    low, high = F.min(F.struct("_rank", "_v")), F.max(F.struct("_rank", "_v"))
+    out = hits.groupBy("_k", "prob").agg(low.alias("_l"), high.alias("_h"), F.first("_pos").alias("_pos"))
     frac = F.col("_pos") - F.col("_l._rank")
-    return out.select(
-        *keys, "prob", (F.col("_l._v") + frac * (F.col("_h._v") - F.col("_l._v"))).alias("quantile")
-    )
-
-
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return left.join(right, keys)
-    one = right.select(F.struct(*[F.col(c) for c in right.columns]).alias("_s")).scalar()
-    return left.withColumn("_s", one).select(*left.columns, "_s.*")
+    return out.select(*[F.col(f"_k.`{k}`") for k in keys], "prob", (F.col("_l._v") + frac * (F.col("_h._v") - F.col("_l._v"))).alias("quantile"))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salt: Column | None = None) -> DataFrame:

@@ -42,10 +42,38 @@ def test_longest_phrase_wins_and_heads_follow(spark):
     rows = [(1, 1, "new", 3), (1, 2, "york", 3), (1, 3, "city", 4), (1, 4, "cops", 0), (1, 5, "york", 4)]
     t = spark.createDataFrame([(u, i, f, f, "N", h) for u, i, f, h in rows], "unit_id long, id int, form string, lemma string, pos string, head int")
     phrases = spark.createDataFrame([("new york",), ("new york city",), ("city cops",)], "term string")
-    got = [(r["id"], r["form"], r["head"]) for r in matching.merge_phrases(t, phrases, 3).orderBy("id").collect()]
+    got = [(r["id"], r["form"], r["head"]) for r in matching.merge_phrases(t, phrases).orderBy("id").collect()]
     assert got == [(1, "new york city", 2), (2, "cops", 0), (3, "york", 2)]
 
 
+def test_phrases_of_any_length_and_overlap(spark):
+    t = _tokens(spark, "a a a a a b c d b c a a".split())
+    for entries, want in [
+        (["a a"], [(1, 2), (3, 2), (11, 2)]),
+        (["a a a", "b c d", "c d b c"], [(1, 3), (6, 3)]),
+        (["a a", "a a a a", "a b", "b c", "x y z"], [(1, 4), (5, 2), (9, 2), (11, 2)]),
+        (["a", "d b c a a"], [(8, 5)]),
+    ]:
+        found = matching.phrase_spans(t, spark.createDataFrame([(e,) for e in entries], "term string"))
+        assert sorted((r["start"], r["len"]) for r in found.collect()) == want
+
+
+def test_score_with_entries_of_signs(spark):
+    entries = {"good": 2.0, "can't stand": -3.0, "stand": 0.5, "well-known": 1.5, "known": 0.25, ":)": 4.0, ":": 0.125, "not good": -2.5, "new york city": 1.0, "york": 0.0625, "\u2764": 3.0, "100": 8.0}
+    valence = spark.createDataFrame(list(entries.items()), "term string, value double")
+    texts = [
+        ("a", "I can't stand it, GOOD"), ("b", "a well-known man, well known"), ("c", "fine:) but : )"), ("d", "not good not  good"), ("e", "New York  City york"),
+        ("f", "\u2764\u2764 100 x100"), ("g", None), ("h", ""), ("i", "not not good good"), ("j", "can' t stand"),
+    ]
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts], "id string, text string, entry string")
+    got = {r["id"]: r["score"] for r in lexicon.lexicon_compound(df, valence, "id").collect()}
+    sums = {
+        "a": -3.0 + 2.0, "b": 1.5 + 0.25, "c": 4.0 + 0.125, "d": -5.0, "e": 1.0 + 0.0625, "f": 6.0 + 16.0, "g": 0.0, "h": 0.0, "i": -2.5 + 2.0, "j": 0.5,
+    }
+    for k, s in sums.items():
+        assert got[k] == pytest.approx(s / (s * s + 15.0) ** 0.5), k
+
+
 def test_address_forms(spark):
     flagged = matching.exclude_address_forms(_tokens(spark, ["you", "guys", "oh", "man", "the", "man", ",", "ok"]))
     assert [r["id"] for r in flagged.where("is_address").collect()] == [2, 4, 6]
@@ -81,10 +109,33 @@ def test_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(0)
     values = np.concatenate([rng.lognormal(size=999), np.full(400, 0.5)])
     df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)], "k int, v double")
-    got = {(r["k"], r["prob"]): r["quantile"] for r in ranking.exact_quantiles(df, ["k"], "v", [0.0, 0.25, 0.5, 0.99, 1.0], bins=16).collect()}
-    for k in (0, 1):
-        for p in (0.0, 0.25, 0.5, 0.99, 1.0):
-            assert got[k, p] == pytest.approx(np.quantile(values[k::2], p))
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    for small in (200_000, 40, 1):
+        found = ranking.exact_quantiles(df, ["k"], "v", probs, bins=16, small=small)
+        got = {(r["k"], r["prob"]): r["quantile"] for r in found.collect()}
+        for k in (0, 1):
+            for p in probs:
+                assert got[k, p] == pytest.approx(np.quantile(values[k::2], p))
+
+
+def test_quantiles_of_null_keys_and_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, None), (2, 5.0)], "k int, v double")
+    got = {(r["k"], r["quantile"]) for r in ranking.exact_quantiles(df, ["k"], "v", [0.5]).collect()}
+    assert got == {(None, 2.0), (2, 5.0)}
+    assert ranking.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).collect() == []
+    assert [r["quantile"] for r in ranking.exact_quantiles(df, [], "v", [0.5]).collect()] == [3.0]
+
+
+def test_bins_of_a_long_tail_are_even(spark):
+    """Heavy tails, a hot key and a second key: no bin of a key holds twice the mean."""
+    rng = np.random.default_rng(1)
+    tail = np.concatenate([rng.pareto(0.3, 30_000), -rng.pareto(0.2, 10_000)])
+    df = spark.createDataFrame([(0, float(v)) for v in tail] + [(1, float(v) ** 3) for v in range(8000)], "k int, v double")
+    sizes = ranking.balanced_bins(df, "k", "v", 64).groupBy("k", "_bin").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    for k, n in ((0, 40_000), (1, 8000)):
+        rows = sorted((r for r in sizes.collect() if r["k"] == k), key=lambda r: r["_bin"])
+        assert max(r["n"] for r in rows) <= 2 * n / 64 and sum(r["n"] for r in rows) == n
+        assert all(a["hi"] < b["lo"] for a, b in zip(rows, rows[1:]))
 
 
 def test_split_keeps_one_more_for_training(spark):

@@ -41,7 +41,16 @@ def test_text_score_shuffles_sums_only(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     valence = materialize(docs.select(F.col("lang").alias("term"), F.lit(1.0).alias("value")).distinct(), "valence")
     text = plan(lexicon_compound(docs, valence, "doc_id"))
-    assert "hashpartitioning(doc_id" in text and ", term" not in "".join(x for x in text.splitlines() if "hashpartitioning" in x)
+    assert "hashpartitioning(_key" in text and "_probe" not in "".join(x for x in text.splitlines() if "hashpartitioning" in x)
+
+
+def test_constraints_shuffle_a_unit_once(spark):
+    from roleweave.catalog import frames
+    from roleweave.operators import constraints as cs
+
+    rows = cs.unit_frames(frames.matched_tokens(spark, DATA))
+    text = plan(cs.build_constraints(rows, cs.ConstraintConfig(isa=True, parent_child=True, emoji=False)))
+    assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(unit_id" in text and "Join" not in text
 
 
 def test_lexicon_meets_tokens_by_broadcast_of_a_written_table(spark):
