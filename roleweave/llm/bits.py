@@ -54,11 +54,14 @@ def marked(words: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def rows_of(df: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """Rows of ``df`` whose key is among the distinct ``keys``: others are left out before any shuffle, as far as a bitmap tells."""
+    """Rows of ``df`` whose key is among the distinct ``keys``: others are left out before any shuffle, as far as a bitmap tells.
+
+    The join shuffles at every size: what is small on disk may be large in memory.
+    """
     known = bitmap(keys.select(F.col(key).alias("h")))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(marked(known.value, batch.column(key).to_numpy().view(A.U))))
 
-    return df.mapInArrow(run, df.schema).join(keys, key)
+    return df.mapInArrow(run, df.schema).join(keys.hint("merge"), key)

@@ -148,8 +148,8 @@ def _batch(batch: pa.RecordBatch, out: dict, schema: pa.Schema) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _windows(spec: Windows, schema: pa.Schema):
-    """Names of all windows of the groups to be looked at one by one."""
+def _windows(spec: Windows, schema: pa.Schema, again=None):
+    """Names of the windows of the groups to be looked at one by one: all, or those that may be among ``again``."""
 
     def run(batches):
         for batch in batches:
@@ -170,7 +170,10 @@ def _windows(spec: Windows, schema: pa.Schema):
                     win = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
                     out = dict(zip(("f1", "f2"), _names(spec, parse, r - lo, win, win)))
                     out["win"], out["i0"] = win, start
-                    rows = pa.array(np.full(len(win), r))
+                    if again is not None:
+                        own = marked(again.value, out["f1"].view(A.U))
+                        out = {n: x[own] for n, x in out.items()}
+                    rows = pa.array(np.full(len(out["win"]), r))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).take(rows) for f in schema],
                         schema=schema,
@@ -268,13 +271,14 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     asked = wholes.join(open_cores, "core").select("first.key", "first.i0", "first.i1", "w1")
     asked = asked.groupBy("key").agg(F.collect_set(F.struct("i0", "i1", "w1")).alias("asked"))
 
-    more = {"win": "int", "f1": "long", "f2": "long"} | ({"i0": "int"} if ordered else {})
-    schema, arrow = _schema("key ord", work, more)
-    asked = scratch.write(asked, "asked")
-    windows = rows_of(docs.select("key", *rank, "text"), asked).mapInArrow(_windows(spec, arrow), schema)
-    windows = scratch.write(windows, "windows")
-    names = scratch.write(windows.groupBy("f1", "f2").agg(*counts).filter(again), "names")
-    found = windows.join(names, ["f1", "f2"])
+    # Names are counted without being kept; a second reading gives out those found again.
+    texts = scratch.write(rows_of(docs.select("key", *rank, "text"), scratch.write(asked, "asked")), "texts")
+    schema, arrow = _schema("ord", texts, {"f1": "long", "f2": "long"})
+    named = texts.mapInArrow(_windows(spec, arrow), schema).groupBy("f1", "f2").agg(*counts).filter(again)
+    names = scratch.write(named, "names")
+    seen = bitmap(names.select(F.col("f1").alias("h")))
+    schema, arrow = _schema("key ord", texts, {"win": "int", "f1": "long", "f2": "long"} | ({"i0": "int"} if ordered else {}))
+    found = texts.mapInArrow(_windows(spec, arrow, seen), schema).join(names, ["f1", "f2"])
     if ordered:
         found = scratch.write(found.filter("lo < ord").select("key", "i0", "win", "f1"), "found")
         same = found.join(rest, ["key", "i0"]).select(F.col("own").alias("key"), (F.col("win") + F.col("by")).alias("win"), "f1")
@@ -285,7 +289,8 @@ def repeated_windows(docs: DataFrame, spec: Windows, ordered: bool) -> DataFrame
     ends = scratch.write(settled.join(places, "key", "full"), "ends")
     named = work.select("key", "digest", "w1").join(ends, "key").dropDuplicates(["key"])
     ends = scratch.write(named, "named")
-    scratch.drop(wholes, asked, windows, names, *([rest, found] if ordered else []))
+    seen.destroy()
+    scratch.drop(wholes, texts, names, *([rest, found] if ordered else []))
 
     more = {"n_removed": "long", "spans": "array<struct<start:int,end:int>>", "kept": "binary", "kept_sha256": "string"}
     schema, arrow = _schema("id", work, {"n": "long", **more})
