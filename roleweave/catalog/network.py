@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import filters, joins, network as nw
+from ..operators.density import density_at_points
 from ..operators.ranking import neighbour_top_k
 from ..plans import scatter
 from ..session import scratch_path
@@ -169,19 +170,14 @@ BAND = "(4*1.06*least(stddev_samp({c}), (quantile_cont({c},0.75)-quantile_cont({
 
 @proof("point_densities", "N8", f"""
 WITH pt AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
-st AS (SELECT label, count(*) AS n, {BAND.format(c='x')} AS hx, {BAND.format(c='y')} AS hy, min(x) AS lox, max(x) AS hix, min(y) AS loy, max(y) AS hiy FROM pt GROUP BY label),
-gr AS (SELECT st.*, a.i AS ix, b.i AS iy FROM st, range(25) a(i), range(25) b(i)),
-z AS (SELECT g.label, ix, iy, sum(exp(-0.5*pow((lox+(hix-lox)*ix/24.0-x)/hx,2))*exp(-0.5*pow((loy+(hiy-loy)*iy/24.0-y)/hy,2)))/(2*pi()*any_value(n)*any_value(hx)*any_value(hy)) AS z
-   FROM gr g JOIN pt USING (label) GROUP BY ALL),
-pp AS (SELECT pt.*, (x-lox)/(hix-lox)*24 AS px, (y-loy)/(hiy-loy)*24 AS py FROM pt JOIN st USING (label)),
-pi AS (SELECT *, least(floor(px),23) AS ix, least(floor(py),23) AS iy FROM pp)
-SELECT vec_id, p.label, round((1-(px-p.ix))*((1-(py-p.iy))*a.z+(py-p.iy)*b.z)+(px-p.ix)*((1-(py-p.iy))*c.z+(py-p.iy)*d.z), 6) AS density
-FROM pi p JOIN z a ON a.label=p.label AND a.ix=p.ix AND a.iy=p.iy JOIN z b ON b.label=p.label AND b.ix=p.ix AND b.iy=p.iy+1
-JOIN z c ON c.label=p.label AND c.ix=p.ix+1 AND c.iy=p.iy JOIN z d ON d.label=p.label AND d.ix=p.ix+1 AND d.iy=p.iy+1""")
+st AS (SELECT label, count(*) AS n, {BAND.format(c='x')} AS hx, {BAND.format(c='y')} AS hy FROM pt GROUP BY label)
+SELECT a.vec_id, a.label, round(sum(exp(-0.5 * (pow((a.x - b.x) / hx, 2) + pow((a.y - b.y) / hy, 2)))) / (2 * pi() * any_value(n) * any_value(hx) * any_value(hy)), 6) AS density
+FROM pt a JOIN st USING (label) JOIN pt b ON b.label = a.label GROUP BY a.vec_id, a.label""")
 def point_densities(spark, d):
+    """The twin sums over all pairs."""
     e = frames.table(spark, d, "embeddings", wide=True)
     pts = e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xy")])
-    out = nw.density_at_points(pts, "x", "y", "label")
+    out = density_at_points(pts, "x", "y", "label")
     return out.select("vec_id", "label", F.round("density", 6).alias("density"))
 
 

@@ -4,16 +4,11 @@ from __future__ import annotations
 
 import warnings
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .filters import drop_weak
-from .ranking import exact_quantiles
 
 
 def cov_to_cor(cov: DataFrame) -> DataFrame:
@@ -184,66 +179,3 @@ def ego_profile(pairs: DataFrame, name: str, measures: list[str], corr: str = "v
     other = F.when(F.col(a) == name, F.col(b)).otherwise(F.col(a))
     rows = hit.select(other.alias("other"), F.col(corr).alias("corr"), *measures)
     return rows.unpivot(["other", "corr"], measures, "measure", "value")
-
-
-# -- density ----------------------------------------------------------------------
-
-GRID = 25
-
-
-def _bandwidth(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """Normal-reference bandwidth from quartiles, deviation and count."""
-    q = exact_quantiles(df, by, col, [0.25, 0.75]).groupBy(*by).agg(
-        F.min(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("_q1"),
-        F.min(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("_q3"),
-    )
-    m = df.groupBy(*by).agg(
-        F.stddev_samp(col).alias("_sd"), F.count("*").alias("_n"), F.min(col).alias("lo"), F.max(col).alias("hi")
-    )
-    joined = m.join(q, by)
-    h = 4 * 1.06 * F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34) * F.pow(F.col("_n"), F.lit(-0.2)) / 4
-    return joined.select(*by, h.alias(f"h{col}"), F.col("lo").alias(f"lo{col}"), F.col("hi").alias(f"hi{col}"), F.col("_n").alias("n"))
-
-
-def density_at_points(df: DataFrame, x: str, y: str, by: str, grid: int = GRID) -> DataFrame:
-    """Add ``density``: a Gaussian kernel density on a grid per group, read back
-    at each point by bilinear interpolation.
-
-    Each partition adds its points' kernels to a grid per group; only grids are
-    shuffled, never pairs of points.
-    """
-    points = df.withColumnRenamed(x, "x").withColumnRenamed(y, "y")
-    frame = _bandwidth(points, [by], "x").join(_bandwidth(points, [by], "y").drop("n"), by)
-    placed = points.join(frame, by)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for pdf in batches:
-            for key, g in pdf.groupby(by):
-                f = g.iloc[0]
-                gx = np.linspace(f["lox"], f["hix"], grid)
-                gy = np.linspace(f["loy"], f["hiy"], grid)
-                kx = np.exp(-0.5 * ((gx[:, None] - g["x"].to_numpy()[None, :]) / f["hx"]) ** 2)
-                ky = np.exp(-0.5 * ((gy[:, None] - g["y"].to_numpy()[None, :]) / f["hy"]) ** 2)
-                z = kx @ ky.T / (2 * np.pi * f["n"] * f["hx"] * f["hy"])
-                sums[key] = z if key not in sums else sums[key] + z
-        for key, z in sums.items():
-            ix = np.arange(grid)
-            yield pd.DataFrame({by: key, "ix": ix, "row": list(z)})
-
-    kind = df.schema[by].dataType.simpleString()
-    cells = placed.select(by, "x", "y", "n", "hx", "hy", "lox", "hix", "loy", "hiy")
-    rows = cells.mapInPandas(partial, f"{by} {kind}, ix int, row array<double>")
-    sums = rows.select(by, "ix", F.posexplode("row").alias("iy", "z")).groupBy(by, "ix", "iy").agg(F.sum("z").alias("z"))
-    per = sums.groupBy(by, "ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("iy", "z"))), lambda c: c["z"]).alias("row"))
-    table = per.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ix", "row"))), lambda c: c["row"]).alias("grid"))
-    step = lambda c: (F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * (grid - 1)
-    at = placed.join(table, by)
-    for c in "xy":
-        at = at.withColumn(f"_p{c}", step(c)).withColumn(f"_i{c}", F.least(F.floor(f"_p{c}"), F.lit(grid - 2)).cast("int"))
-        at = at.withColumn(f"_f{c}", F.col(f"_p{c}") - F.col(f"_i{c}"))
-    cell = lambda dx, dy: F.get(F.get("grid", F.col("_ix") + dx), F.col("_iy") + dy)
-    fx, fy = F.col("_fx"), F.col("_fy")
-    value = (1 - fx) * ((1 - fy) * cell(0, 0) + fy * cell(0, 1)) + fx * ((1 - fy) * cell(1, 0) + fy * cell(1, 1))
-    keep = [F.col("x").alias(x) if c == x else F.col("y").alias(y) if c == y else F.col(c) for c in df.columns]
-    return at.select(*keep, value.alias("density"))
