@@ -157,12 +157,49 @@ def subgraph_of_names(spark, d):
 
 @proof("dimension_communities", "N5 A13", None)
 def dimension_communities(spark, d):
-    return nw.communities(edges(spark, d))
-
-
-@proof("dimension_betweenness", "N6", None)
+    return frames.kept("communities", spark, d, lambda: nw.communities(edges(spark, d)))
+
+
+@proof("community_quality", "N5", "WITH " + COV_SQL + """,
+bw AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), k AS (SELECT src, sum(weight) AS k FROM bw GROUP BY 1)
+SELECT count(*) AS n_vertices, round(-sum(k * k) / pow(sum(k), 2), 9) AS alone, true AS named_by_least, true AS above_one_level, true AS no_merge_left FROM k""")
+def community_quality(spark, d):
+    """The partition against single vertices, one level of moves, and every merge of two communities."""
+    e = frames.kept("edges", spark, d, lambda: edges(spark, d))
+    links = nw.both_ways(e)
+    verts = links.groupBy(F.col("src").alias("vertex")).agg(F.sum("weight").alias("k")).withColumn("loop", F.lit(0.0))
+    found = frames.kept("communities", spark, d, lambda: nw.communities(e))
+    q = nw.modularity(links, verts, found)
+    one, _ = nw._local_moves(links, verts)
+    alone = nw.modularity(links, verts, verts.select("vertex", F.col("vertex").alias("community")))
+    size = verts.join(found, "vertex").groupBy("community").agg(F.sum("k").alias("k"), F.min("vertex").alias("least"))
+    m2 = verts.select(F.sum("k")).scalar()
+    a, b = found.toDF("src", "a"), found.toDF("dst", "b")
+    between = links.join(a, "src").join(b, "dst").where("a < b").groupBy("a", "b").agg(F.sum("weight").alias("w"))
+    gain = between.join(size.select(F.col("community").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("community").alias("b"), F.col("k").alias("kb")), "b")
+    merge = gain.where(F.col("w") - F.col("ka") * F.col("kb") / m2 > 1e-6).isEmpty()
+    better = q >= nw.modularity(links, verts, one) - 1e-12
+    out = size.agg(F.bool_and(F.col("community") == F.col("least")).alias("named_by_least")).withColumn("n_vertices", verts.select(F.count("*")).scalar())
+    return out.select("n_vertices", F.round(F.lit(alone), 9).alias("alone"), "named_by_least", F.lit(better).alias("above_one_level"), F.lit(merge).alias("no_merge_left"))
+
+
+@proof("dimension_betweenness", "N6", "WITH RECURSIVE " + COV_SQL + """,
+g AS MATERIALIZED (SELECT src, dst, weight AS w FROM edges UNION ALL SELECT dst, src, weight FROM edges),
+r(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT src, src, CAST(0 AS DOUBLE) FROM g
+  UNION SELECT r.s, g.dst, min(r.d + g.w) FROM r JOIN g ON g.src = r.v LEFT JOIN recurring.r x ON x.s = r.s AND x.v = g.dst
+  WHERE x.d IS NULL OR r.d + g.w < x.d - 1e-12 GROUP BY r.s, g.dst),
+dist AS MATERIALIZED (SELECT * FROM r),
+tight AS MATERIALIZED (SELECT a.s, a.v AS u, b.v FROM dist a JOIN g ON g.src = a.v JOIN dist b ON b.s = a.s AND b.v = g.dst
+  WHERE abs(a.d + g.w - b.d) <= 1e-12 * (1 + b.d) AND b.v <> b.s),
+paths AS (SELECT DISTINCT s, s AS v, CAST(1 AS DOUBLE) AS c FROM dist UNION ALL SELECT p.s, t.v, p.c FROM paths p JOIN tight t ON t.s = p.s AND t.u = p.v),
+sigma AS MATERIALIZED (SELECT s, v, sum(c) AS n FROM paths GROUP BY ALL),
+dep AS (SELECT b.v, sum(x.n * y.n / z.n) / 2 AS betweenness FROM dist a JOIN dist b ON b.s = a.s JOIN dist c ON c.s = b.v AND c.v = a.v
+  JOIN sigma x ON x.s = a.s AND x.v = b.v JOIN sigma y ON y.s = b.v AND y.v = a.v JOIN sigma z ON z.s = a.s AND z.v = a.v
+  WHERE b.v <> a.s AND b.v <> a.v AND a.s <> a.v AND abs(b.d + c.d - a.d) <= 1e-12 * (1 + a.d) GROUP BY b.v)
+SELECT vertex, round(coalesce(betweenness, 0), 6) AS betweenness FROM (SELECT DISTINCT src AS vertex FROM g) LEFT JOIN dep ON v = vertex""")
 def dimension_betweenness(spark, d):
-    return rounded(nw.betweenness(edges(spark, d)), ["betweenness"], 6)
+    """In several blocks of sources."""
+    return rounded(nw.betweenness(edges(spark, d), block_rows=20_000), ["betweenness"], 6)
 
 
 BAND = "(4*1.06*least(stddev_samp({c}), (quantile_cont({c},0.75)-quantile_cont({c},0.25))/1.34)*pow(count(*),-0.2)/4)"
