@@ -8,7 +8,7 @@ from ..functions.fixed_values import MODIFIER_EQUATION, MODIFIER_VARS
 from ..operators import users
 from ..sources import files, lexicons, tokens as tk
 from ..session import scratch_path
-from ..streaming.incremental import process_new_files
+from ..streaming.incremental import manifest, process_new_files, take_new_files, taken
 from . import algebra, frames, scoring
 from .base import proof
 from .lexicon import PRIOR_SQL, doc_mentions, empirical, rounded
@@ -194,13 +194,41 @@ def new_files_only(spark, d):
     return done.select(first.alias("unit_id"), F.size("lines").cast("long").alias("n"))
 
 
+def _as_one_file(spark, lines, folder, name):
+    """Text rows as one file of the given name."""
+    lines.coalesce(1).write.text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(at, name))
+
+
+@proof("files_taken_once", "S17 S11", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS batch, 3 AS n_files FROM documents""")
+def files_taken_once(spark, d):
+    """Files of equal name in three folders; a run that was cut short and a run without news add nothing."""
+    ids = frames.table(spark, d, "documents").select("doc_id")
+    root, out = scratch_path(spark, "inbox"), scratch_path(spark, "taken")
+    parse = lambda rows: rows.where("trim(value) <> ''").select(F.trim("value").cast("long").alias("doc_id"), "path")
+    for third in range(3):
+        lot = ids.where(F.col("doc_id") % 3 == third).select(F.concat(F.col("doc_id").cast("string"), F.lit("\n")).alias("value"))
+        _as_one_file(spark, lot, f"{root}/lot{third}", "units.txt")
+        if third == 1:
+            spark.range(5).select(F.col("id").alias("doc_id"), F.lit("cut short").alias("path")).write.parquet(f"{out}/data/0")
+        if third:
+            take_new_files(spark, root, out, parse)
+            take_new_files(spark, root, out, parse)
+    rows = taken(spark, out).join(manifest(spark, out).select("path", "batch"), "path")
+    return rows.select("doc_id", "batch", manifest(spark, out).select(F.count("*").cast("int")).scalar().alias("n_files"))
+
+
 @proof("files_without_output", "S17", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1")
 def files_without_output(spark, d):
-    """Left-anti form: input files whose name is already tagged in the output are skipped."""
+    """Left-anti form: input files that the output lists are skipped."""
     path = scratch_path(spark, "inputs")
     ids = frames.table(spark, d, "documents").select("doc_id")
     ids.where("doc_id % 2 = 0").write.parquet(path)
-    done = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("source_file")).distinct()
+    done = spark.read.parquet(path).select(*files.file_key()).distinct()
     done_path = scratch_path(spark, "done")
     done.write.parquet(done_path)
     ids.where("doc_id % 2 = 1").write.mode("append").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed format: columns of the files that are read.
@@ -31,8 +31,9 @@ def read_user_blocks(spark: SparkSession, path: str, names: tuple[str, str] = ("
 
 
 def read_runs(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
-    """All files of a folder, stacked, each tagged with its run number by file name."""
-    rows = spark.read.schema(schema).option("sep", "\t").csv(path).withColumn("file", F.col("_metadata.file_name"))
+    """All files of a folder and the folders in it, stacked, each tagged with its run number by full path."""
+    reader = spark.read.schema(schema).option("sep", "\t").option("recursiveFileLookup", True)
+    rows = reader.csv(path).withColumn("file", F.col("_metadata.file_path"))
     from ..operators.ranking import bucketed_row_number
 
     files = bucketed_row_number(rows.select("file").distinct(), [], ["file"], F.lit(0), "run")
@@ -81,8 +82,17 @@ def read_users(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*have)
 
 
-def skip_done(inputs: DataFrame, done: DataFrame, tag: str = "source_file") -> DataFrame:
-    """Rows of input files that have no output yet."""
-    named = inputs.withColumn(tag, F.col("_metadata.file_name"))
-    return named.join(done.select(tag).distinct(), tag, "left_anti")
+#: What tells one state of a file from another.
+FILE_KEY = ["path", "size", "modified"]
 
+
+def file_key() -> list[Column]:
+    """Full path, size and time of the file that a row was read from."""
+    m = F.col("_metadata")
+    return [m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("modified")]
+
+
+def skip_done(inputs: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows of input files that ``done`` (path, size, modified) does not list; a file that was changed counts as new."""
+    named = inputs.select("*", *file_key())
+    return named.join(done.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti")
