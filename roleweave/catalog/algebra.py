@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import EVENT_VARS, MODIFIER_VARS
@@ -223,7 +225,20 @@ def point_fit_first_pass(spark, d):
     return mean_by_key(m, ["user_id", "target", "dim"]).select("user_id", "target", "dim", F.round("val", 4).alias("val"))
 
 
-@proof("point_fit_two_passes", "M13 C19", None)
+def _two_passes_sql():
+    """The first pass under the base values, the second under the user's own first values."""
+    one = _prepared_sql()
+    for n in "753":
+        one = one.replace(f"user_id % {n}", f"0 % {n}")
+    two = re.sub(r"\b(fv|fx|df|cf|coefs)\b", r"\g<1>2", one[one.index("fv AS (") :]).replace("JOIN vals ", "JOIN vals2 ")
+    own = ", ".join(f"coalesce(f{d}.value, v.{d}) AS {d}" for d in "epa")
+    joins = " ".join(f"LEFT JOIN firsts f{d} ON f{d}.user_id = v.user_id AND f{d}.target = v.idx AND f{d}.dim = '{d}'" for d in "epa")
+    return f"""WITH {one}, firsts AS (SELECT user_id, target, dim, avg(-c1 / (2 * c0)) AS value FROM coefs WHERE c0 > 0 GROUP BY ALL),
+vals2 AS (SELECT v.user_id, v.idx, {own} FROM vals v {joins}), {two}
+SELECT user_id, target, dim, round(avg(-c1 / (2 * c0)), 4) AS value FROM coefs2 WHERE c0 > 0 GROUP BY ALL"""
+
+
+@proof("point_fit_two_passes", "M13 C19", _two_passes_sql())
 def point_fit_two_passes(spark, d):
     c = event_constraints(spark, d)
     one = c.select(F.max("k").alias("k")).select(vector(F.lit(0), F.col("k"))).scalar()

@@ -8,6 +8,7 @@ from ..functions.fixed_values import MODIFIER_EQUATION, MODIFIER_VARS
 from ..operators import users
 from ..sources import files, lexicons, tokens as tk
 from ..session import scratch_path
+from ..functions.text import explode_ids
 from ..streaming.incremental import manifest, process_new_files, take_new_files, taken
 from . import algebra, frames, scoring
 from .base import proof
@@ -123,7 +124,8 @@ un AS (SELECT doc_id, source AS user_id, trim(regexp_replace(text, '[^\\pL]+', '
 def unit_text_file(spark, d):
     u = users.unit_text_export(unit_texts(spark, d).where(F.size("identities") > 0))
     back = files.read_unit_text(spark, written(spark, "unit-text", files.write_tsv, u))
-    return back.select("user_id", F.explode("ids").alias("id"), F.md5("text").alias("text"))
+    joined = back.select("user_id", F.array_join("ids", ",").alias("ids"), "text")
+    return joined.select("user_id", explode_ids(F.col("ids")).alias("id"), F.md5("text").alias("text"))
 
 
 @proof("json_units_file", "S9", "SELECT event_id, user_id, event_type, value FROM events")

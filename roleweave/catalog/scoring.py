@@ -246,8 +246,8 @@ def deflection_model_mentions(spark, d):
     c = algebra.event_constraints(spark, d)
     c = c.withColumn("vec", algebra.vector(F.col("user_id"), F.col("k")))
     forms = co.target_forms(c)
-    mentions = c.select("unit_id", "user_id", F.col("actor").alias("target"), "vec")
-    rows = predict.deflection_weights(mentions, forms)
+    vectors = frames.kept("event_vectors", spark, d, lambda: c.select("user_id", "vec").dropDuplicates(["user_id"]))
+    rows = predict.deflection_weights(c.select("unit_id", "user_id", F.col("actor").alias("target")), forms, vectors)
     rows = rows.withColumn("weights", F.transform("weights", lambda w: F.round(w, 9)))
     s = evaluate.mention_scores(rows, {"our_sent": "weights"}, "target", ["unit_id", "target"])
     return s.select("unit_id", "target", F.round("log_prob", 5).alias("log_prob"), "rank")

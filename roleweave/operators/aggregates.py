@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import BIAS, SCALE
+from ..session import materialize
 
 
 def sum_count_by(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -44,7 +45,8 @@ def support_by_word(df: DataFrame, word: str = "word", n: str = "n") -> DataFram
 
 
 def minmax_rescale(df: DataFrame, cols: list[str], half_range: float = SCALE) -> DataFrame:
-    """Each column to [-half_range, half_range] by its global range."""
+    """Each column to [-half_range, half_range] by its global range; the input is written once, as it is read twice."""
+    df = materialize(df, "rescaled")
     bounds = df.select(
         F.struct(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
     ).scalar()
@@ -63,7 +65,8 @@ def group_mean_skipna(df: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 
 def zscore_diff(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Population z-scores of two columns and their absolute difference."""
+    """Population z-scores of two columns and their absolute difference; the input is written once, as it is read twice."""
+    df = materialize(df, "scored")
     m = df.select(
         F.struct(
             F.avg(a).alias("ma"), F.stddev_pop(a).alias("sa"), F.avg(b).alias("mb"), F.stddev_pop(b).alias("sb")

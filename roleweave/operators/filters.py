@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DIMS
+from ..session import materialize
 
 
 def filter_candidate_units(
@@ -77,6 +78,7 @@ def filter_positive(df: DataFrame, col: str) -> DataFrame:
 
 def assign_cells(df: DataFrame, num: str, category: str, levels: tuple[str, str], out: str = "cell") -> DataFrame:
     """2x2 cells 1-4: above / at-or-below the global mean by two levels; else 0."""
+    df = materialize(df, "cells")  # read twice
     mean = df.select(F.avg(num)).scalar()
     high = F.col(num) > mean
     first, second = (F.col(category) == lv for lv in levels)

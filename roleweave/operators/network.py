@@ -42,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = materialize(both_ways(edges.select("src", "dst")).distinct(), "links")
     labels = links.groupBy(F.col("src").alias("vertex")).agg(F.least(F.first("src"), F.min("dst")).alias("component"))
-    labels = materialize(labels, "labels")
+    labels = old = materialize(labels, "labels")
     while True:
         near = links.join(labels, F.col("src") == F.col("vertex")).groupBy("dst").agg(F.min("component").alias("_near"))
         step = labels.join(near, F.col("vertex") == F.col("dst"), "left").select(
@@ -50,10 +50,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         step = materialize(step, "hook")
         jump = step.select(F.col("vertex").alias("_c"), F.col("_c").alias("component"))
-        labels_next = materialize(step.join(jump, "_c").select("vertex", "component", "_old"), "labels")
-        moved = labels_next.where(F.col("component") != F.col("_old"))
-        labels = labels_next.select("vertex", "component")
-        if moved.isEmpty():
+        after = materialize(step.join(jump, "_c").select("vertex", "component", "_old"), "labels")
+        still = after.where(F.col("component") != F.col("_old")).isEmpty()
+        discard(old, step)
+        old, labels = after, after.select("vertex", "component")
+        if still:
+            discard(links)
             return labels
 
 

@@ -71,14 +71,16 @@ def distance_weights(vec: Column, score: Column, power: float = 1.0) -> Column:
     return F.transform(vec, lambda v: -F.pow(F.abs(v - score), F.lit(float(power))))
 
 
-def deflection_weights(mentions: DataFrame, forms: DataFrame, vec: str = "vec", out: str = "weights") -> DataFrame:
+def deflection_weights(mentions: DataFrame, forms: DataFrame, vectors: DataFrame, vec: str = "vec", out: str = "weights") -> DataFrame:
     """Log weights minus the unit's deflection with the mention replaced by each
     candidate; null where no constraint of the unit holds the mention.
 
-    ``forms`` is from `coefficients.target_forms`; ``vec`` holds the values of
-    all candidates for the row's user.
+    ``forms`` is from `coefficients.target_forms`; ``vectors`` (user_id and
+    ``vec``) holds the values of all candidates.  Mentions and forms meet on
+    narrow rows; the vector of the user comes last.
     """
-    return form_weights(mentions.join(forms, ["unit_id", "user_id", "target"], "left"), vec, out)
+    rows = mentions.join(forms, ["unit_id", "user_id", "target"], "left")
+    return form_weights(rows.join(vectors, "user_id"), vec, out)
 
 
 def form_weights(rows: DataFrame, vec: str = "vec", out: str = "weights") -> DataFrame:

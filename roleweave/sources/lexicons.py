@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DIMS, IDENTITY_PREFIX, SENTWORD_PREFIX, VALUE_OFFSET
@@ -59,20 +59,34 @@ def read_equation_table(spark: SparkSession, path: str, variables: list[str]) ->
 
 def read_equation_blocks(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
     """The second form: one block per output, lines ``coef`` or ``variables<TAB>coef``
-    with two-letter variables.  Blocks are numbered by file order within one file."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
-    tagged = blocks.withColumn("output", F.monotonically_increasing_id() if order is None else F.expr(order))
+    with two-letter variables.  Without ``order`` (an expression on ``_metadata`` and
+    ``value``) blocks are numbered by their place in their file, files by path:
+    a file is one record, so its splits do not matter."""
+    if order is None:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\n\n+").alias("_blocks"))
+        blocks = whole.select("_file", F.posexplode(F.filter("_blocks", lambda b: F.trim(b) != "")).alias("_at", "value"))
+        tagged = blocks.withColumn("output", (F.row_number().over(Window.orderBy("_file", "_at")) - 1).cast("long"))
+    else:
+        blocks = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
+        tagged = blocks.withColumn("output", F.expr(order))
     lines = tagged.select("output", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
     parts = F.split(F.trim("line"), "\t")
     names = F.when(F.size(parts) > 1, F.regexp_extract_all(parts[0], F.lit("(..)"))).otherwise(F.array().cast("array<string>"))
     return lines.select("output", names.alias("variables"), F.element_at(parts, -1).cast("double").alias("coef"))
 
 
+#: Generated columns of more terms would not compile.
+MOST_TERMS = 2000
+
+
 def equation_columns(terms: DataFrame, values: dict[str, Column]) -> list[Column]:
-    """One sum of products per output.  An equation table has a few dozen terms,
-    which are read to generate the columns."""
+    """One sum of products per output.  The terms, a few dozen, are read to
+    generate the columns; a table of over ``MOST_TERMS`` is refused."""
     outputs: dict[int, Column] = {}
-    for row in terms.orderBy("output", F.array_join("variables", "")).collect():
+    rows = terms.orderBy("output", F.array_join("variables", "")).take(MOST_TERMS + 1)
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"an equation table has at most {MOST_TERMS} terms")
+    for row in rows:
         term = F.lit(row["coef"])
         for v in row["variables"]:
             term = term * values[v]
