@@ -72,3 +72,32 @@ def test_merging_in_rows_follows_token_tables(spark, tokens):
         (1, 1, "The police officers", 0, 3), (1, 2, "was", 1, 1), (1, 3, "not", 1, 1), (1, 4, "nice", 1, 1), (1, 5, "cops", 1, 1),
         (2, 1, "cops", 0, 1), (2, 2, "you guys", 1, 2), (3, 1, "nice", 0, 1),
     ]
+
+
+def test_words_of_a_block_travel_once(spark, known):
+    """What brings the forms to the units grows with the words of a block, not with its tokens."""
+    rows = [(u, i, "cops", "cops", "^", "NN", 0, "O", "u") for u in range(200) for i in range(1, 6)]
+    t = spark.createDataFrame(rows, TOKEN)
+    got = matching.match_units(_units(t), lambda c: c, t, matching.joint_forms(known), blocks=2)
+    answers = [f for f in got.inputFiles() if "/answers-" in f]
+    assert spark.read.parquet(*answers).count() == 2
+    sizes = got.select(F.size(F.filter("nodes", lambda n: F.size("nodes") > 0)).alias("n"), F.size(F.filter("nodes", lambda n: F.size(n["sent_forms"]) > 0)).alias("hit"))
+    assert {(r["n"], r["hit"]) for r in sizes.collect()} == {(5, 5)}
+
+
+def test_rows_of_a_unit_meet_across_batches(spark, tokens, known):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        many = _units(tokens)
+        for _ in range(3):
+            many = many.unionByName(_units(tokens))
+        got = matching.match_units(many, lambda c: c, tokens, matching.joint_forms(known), blocks=1)
+        found = {r["unit_id"]: (r["n"], r["hits"]) for r in got.select("unit_id", F.size("nodes").alias("n"), F.size(F.filter("nodes", lambda n: F.size(n["id_forms"]) > 0)).alias("hits")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {1: (28, 8), 2: (12, 4), 3: (4, 0), None: (8, 8)}
+
+
+def test_nodes_are_made_once_for_the_frames(spark, tokens, known):
+    frames = cs.frames_of(matching.flag_units(matching.match_units(_units(tokens), lambda c: c, tokens, matching.joint_forms(known))))
+    assert frames._jdf.queryExecution().optimizedPlan().toString().count("zip_with(copies") == 1
