@@ -345,10 +345,16 @@ def merge_phrases(tokens: DataFrame, entries: DataFrame) -> DataFrame:
 PARTS = ["id", "form", "lemma", "pos", "head"]
 
 
+def gathered(units: DataFrame, nodes_of) -> DataFrame:
+    """(unit, nodes): the tokens of units, the copies of a unit together."""
+    grouped = units.repartition(F.col(UNIT)).groupBy(UNIT).agg(F.collect_list("copy").alias("copies"))
+    return grouped.select(UNIT, _nodes(F.col("copies"), nodes_of).alias("nodes"))
+
+
 def unit_pairs(units: DataFrame, forms_of) -> DataFrame:
     """(unit, one, two): neighbouring words of units, the copies of a unit together."""
-    grouped = units.repartition(F.col(UNIT)).groupBy(UNIT).agg(F.collect_list("copy").alias("copies"))
-    forms = F.transform(_nodes(F.col("copies"), forms_of), lambda n: n["form"])
+    grouped = gathered(units, forms_of)
+    forms = F.transform("nodes", lambda n: n["form"])
     beside = lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.struct(a.alias("one"), b.alias("two")))
     rows = grouped.select(UNIT, F.explode(let(forms, beside)).alias("p"))
     return rows.select(UNIT, "p.*").where("two IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,28 @@ def failed_units(tokens: DataFrame) -> DataFrame:
     return tokens.where("malformed").groupBy("unit_id").agg(F.count("*").alias("n"))
 
 
+def _line(value: Callable[[str], Column], names: list[str]) -> Column:
+    """Token line from the columns that there are."""
+    values = {n: value(n).cast("string") if n in names else F.lit("_") for n in FIELDS}
+    values["cpos"] = value("pos")
+    values["feats"] = F.concat(F.lit(PTB_KEY), value("ptb"))
+    return F.concat_ws("\t", *[values[n] for n in FIELDS])
+
+
+def _write_lines(units: DataFrame, lines: Column, path: str, compression: str = "none") -> None:
+    block = F.array_join(F.transform(F.sort_array(lines), lambda t: t["line"]), "\n")
+    units.select(block.alias("value")).write.option("lineSep", "\n\n").option("compression", compression).text(path)
+
+
 def write_token_blocks(tokens: DataFrame, path: str) -> None:
     """Tokens (with ptb and label) as blocks; one unit is one record."""
-    blank = F.lit("_")
-    values = {n: F.col(n).cast("string") if n in tokens.columns else blank for n in FIELDS}
-    values["cpos"] = F.col("pos")
-    values["feats"] = F.concat(F.lit(PTB_KEY), F.col("ptb"))
-    line = F.concat_ws("\t", *[values[n] for n in FIELDS])
-    block = F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))), lambda t: t["line"])
-    units = tokens.groupBy("unit_id").agg(F.array_join(block, "\n").alias("value"))
-    units.select("value").write.option("lineSep", "\n\n").text(path)
+    line = _line(F.col, tokens.columns)
+    _write_lines(tokens.groupBy("unit_id").agg(F.collect_list(F.struct("id", line.alias("line"))).alias("lines")), F.col("lines"), path)
+
+
+def write_unit_blocks(units: DataFrame, path: str, compression: str = "gzip") -> None:
+    """The same of units that have their tokens as ``nodes`` in their row: nothing is shuffled; files are compressed, readers take them as they are."""
+    names = ["unit_id", *units.schema["nodes"].dataType.elementType.names]
+    value = lambda n: lambda c: F.col(c) if c == "unit_id" else n[c]
+    lines = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), _line(value(n), names).alias("line")))
+    _write_lines(units, lines, path, compression)

@@ -101,3 +101,15 @@ def test_rows_of_a_unit_meet_across_batches(spark, tokens, known):
 def test_nodes_are_made_once_for_the_frames(spark, tokens, known):
     frames = cs.frames_of(matching.flag_units(matching.match_units(_units(tokens), lambda c: c, tokens, matching.joint_forms(known))))
     assert frames._jdf.queryExecution().optimizedPlan().toString().count("zip_with(copies") == 1
+
+
+def test_blocks_of_units_are_those_of_their_tokens(spark, tokens, tmp_path):
+    from roleweave.sources import tokens as tk
+
+    t = tokens.where("unit_id IS NOT NULL").withColumn("lemma", F.coalesce("lemma", "form"))
+    tk.write_token_blocks(t, str(tmp_path / "tokens"))
+    tk.write_unit_blocks(matching.gathered(_units(t), lambda c: c), str(tmp_path / "units"))
+    one, two = (sorted(map(tuple, tk.read_token_blocks(spark, str(tmp_path / p)).collect()), key=repr) for p in ("tokens", "units"))
+    assert one == two and len(one) == t.count()
+    files = [p for p in (tmp_path / "units").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.suffix == ".gz" for p in files)
