@@ -36,31 +36,49 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex that can be reached.
 
-    Each round takes the smallest label among neighbours, combined before the
-    shuffle, and then jumps along labels, so rounds grow with the logarithm of
-    the path length.
+    Each round points every vertex at the least of itself and its neighbours,
+    follows the pointers to their ends, and puts the ends in the place of the
+    vertices.  Pointers only go down, so an end is the least vertex of its tree;
+    edges within a tree are dropped, so what is left shrinks by round.
     """
-    links = materialize(both_ways(edges.select("src", "dst")).distinct(), "links")
-    labels = links.groupBy(F.col("src").alias("vertex")).agg(F.least(F.first("src"), F.min("dst")).alias("component"))
-    labels = old = materialize(labels, "labels")
+    links, roots = materialize(edges.select("src", "dst"), "links"), None
     while True:
-        near = links.join(labels, F.col("src") == F.col("vertex")).groupBy("dst").agg(F.min("component").alias("_near"))
-        step = labels.join(near, F.col("vertex") == F.col("dst"), "left").select(
-            "vertex", F.col("component").alias("_old"), F.least("component", "_near").alias("_c")
-        )
-        step = materialize(step, "hook")
-        jump = step.select(F.col("vertex").alias("_c"), F.col("_c").alias("component"))
-        after = materialize(step.join(jump, "_c").select("vertex", "component", "_old"), "labels")
+        near = both_ways(links).groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("_near"))
+        ends = _ends(materialize(near.select("vertex", F.least("vertex", "_near").alias("component")), "hook"))
+        at = lambda c: ends.toDF(c, f"_{c}")
+        between = links.join(at("src"), "src").select("_src", "dst").join(at("dst"), "dst").where("_src <> _dst")
+        rest = between.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).distinct()
+        rest = materialize(rest, "links")
+        discard(links)
+        links = rest
+        if roots is None:
+            roots = ends
+        else:
+            after = roots.join(ends.toDF("component", "_c"), "component", "left").select("vertex", F.coalesce("_c", "component").alias("component"))
+            after = materialize(after, "labels")
+            discard(roots, ends)
+            roots = after
+        if links.isEmpty():
+            discard(links)
+            return roots
+
+
+def _ends(trees: DataFrame) -> DataFrame:
+    """Pointers (vertex, component) followed to their ends, twice as far in each round; the input is dropped."""
+    while True:
+        jump = trees.select(F.col("vertex").alias("component"), F.col("component").alias("_next"))
+        after = materialize(trees.join(jump, "component").select("vertex", F.col("_next").alias("component"), F.col("component").alias("_old")), "jump")
         still = after.where(F.col("component") != F.col("_old")).isEmpty()
-        discard(old, step)
-        old, labels = after, after.select("vertex", "component")
+        discard(trees)
+        trees = after.select("vertex", "component")
+        trees.scratch_path = after.scratch_path
         if still:
-            discard(links)
-            return labels
+            return trees
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges of the component with most vertices (ties: smallest label)."""
+    edges = materialize(edges, "edges")
     comp = connected_components(edges)
     best = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
     keep = comp.join(best, "component", "left_semi").select(F.col("vertex").alias("src"))

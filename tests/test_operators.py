@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roleweave.functions import stats, text
-from roleweave.operators import lexicon, matching, network, ranking, tree
+from roleweave.operators import lexicon, matching, network, phrases, ranking, tree
+from roleweave.session import materialize, spread
 
 
 def test_roots_with_cycles_and_detached_heads(spark):
@@ -198,3 +199,21 @@ def test_betweenness_on_a_path_and_a_square(spark):
     # A heavy direct edge is avoided.
     detour = _edges(spark, [("a", "c", 5.0), ("a", "b", 1.0), ("b", "c", 1.0)])
     assert {r["vertex"]: r["betweenness"] for r in network.betweenness(detour).collect()}["b"] == 1.0
+
+
+def test_components_put_ends_in_the_place_of_vertices(spark, monkeypatch):
+    """What is left of the edges shrinks by round; a vertex beside a null is its own component."""
+    written = []
+
+    def spy(df, name, *args):
+        out = materialize(df, name, *args)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(network, "materialize", spy)
+    rows = [(i, i + 1) for i in range(0, 400)] + [(900, 901), (901, 900), (950, None)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    got = {r["vertex"]: r["component"] for r in network.connected_components(e).collect()}
+    assert got == {i: 0 for i in range(401)} | {900: 900, 901: 900, 950: 950, None: 950}
+    links = [n for name, n in written if name == "links"]
+    assert links[0] == len(rows) and all(b <= a / 2 for a, b in zip(links, links[1:])) and links[-1] == 0
