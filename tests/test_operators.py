@@ -217,3 +217,19 @@ def test_components_put_ends_in_the_place_of_vertices(spark, monkeypatch):
     assert got == {i: 0 for i in range(401)} | {900: 900, 901: 900, 950: 950, None: 950}
     links = [n for name, n in written if name == "links"]
     assert links[0] == len(rows) and all(b <= a / 2 for a, b in zip(links, links[1:])) and links[-1] == 0
+
+
+def test_longer_terms_are_looked_up_whole(spark):
+    """Terms that share words with the text make no rows, and spellings of one run count once."""
+    terms = [("of the", 1.0), ("of  the", 1.0)] + [(f"of the w{i}", 2.0) for i in range(50)]
+    entries = lexicon.valence_entries(spark.createDataFrame(terms, "term string, value double"))
+    assert entries.count() == 51 and "at" not in entries.columns
+    texts = spark.createDataFrame([(1, "Of the w\n of the"), (2, "of\tthe w 7, of-the"), (3, None)], "k long, text string")
+    got = {r["k"]: r["score"] for r in lexicon.lexicon_compound(texts, spark.createDataFrame(terms, "term string, value double"), "k").collect()}
+    assert got == pytest.approx({1: 2 / 19**0.5, 2: 1 / 16**0.5, 3: 0.0})
+
+
+def test_token_spaces_are_stripped_without_a_pattern(spark):
+    df = spark.createDataFrame([(" a\t\n b1 .é",)], "t string").select(phrases.text_tokens(F.col("t")).alias("x"))
+    assert [(t["w"], t["gap"]) for t in df.first()["x"]] == [("a", True), ("b", True), ("1", False), (".", True), ("é", False)]
+    assert "regexp_replace" not in df._jdf.queryExecution().toString().lower()
