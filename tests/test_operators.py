@@ -233,3 +233,17 @@ def test_token_spaces_are_stripped_without_a_pattern(spark):
     df = spark.createDataFrame([(" a\t\n b1 .é",)], "t string").select(phrases.text_tokens(F.col("t")).alias("x"))
     assert [(t["w"], t["gap"]) for t in df.first()["x"]] == [("a", True), ("b", True), ("1", False), (".", True), ("é", False)]
     assert "regexp_replace" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_priors_read_the_texts_once(spark, tmp_path):
+    """A document's mean goes to its distinct identities; rows of one document are one, those of none are left out."""
+    from roleweave.catalog import lexicon as catalog
+
+    rows = [(1, "s1", "Bb bb cats cats"), (1, "s1", "Bb bb cats cats"), (2, "s1", "cats bb"), (3, "s2", "cats"), (4, None, "bb, cats"), (None, "s3", "cats bb"), (5, "s2", None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.empirical(spark, str(tmp_path))
+    e = ((2 * 13 + 98 * 7 + 98 * 3) % 87 - 43) / 10 + 0.0001
+    got = {(r["user_id"], r["word"]): (r["total"], r["n"]) for r in out.where("dim = 'e'").collect()}
+    assert got == {("s1", "cats"): (pytest.approx(2 * e), 2), (None, "cats"): (pytest.approx(e), 1)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
