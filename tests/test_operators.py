@@ -252,3 +252,11 @@ def test_priors_shuffle_identities_only(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     distinct = plan[plan.index("Aggregate [doc_id#") :].splitlines()
     assert any("Join Inner" in line for line in distinct[1:3])
+
+
+def test_spread_tasks_grow_with_rows_and_do_not_sort(spark, monkeypatch):
+    monkeypatch.setattr("roleweave.session.ROWS_OF_A_TASK", 10)
+    one = spark.range(0, 200, 1, 1).select(F.lit(5).alias("x"))
+    df = spread(one)
+    assert df.rdd.getNumPartitions() == 20 and df.columns == ["x"] and df.count() == 200
+    assert "RoundRobin" not in df._jdf.queryExecution().toString()
