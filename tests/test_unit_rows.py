@@ -67,3 +67,14 @@ def test_kinds_of_tokens_make_the_vocabulary(units):
     tokens = units.select(F.explode("copy").alias("n")).select("n.*")
     kinds = matching.token_kinds(units, unit_rows.same_nodes())
     assert rows(matching.vocabulary(kinds)) == rows(matching.vocabulary(tokens))
+
+
+def test_phrases_merge_the_same_both_ways(spark, units):
+    entries = spark.createDataFrame([(e,) for e in ("the police", "police officers", "you guys", "cops you guys", "cops cops", "the the")], "term string")
+    one, two = (matching.merge_units(units, w, entries, blocks=3) for w in (lambda c: c, unit_rows.same_nodes()))
+    assert rows(one) == rows(two) and max(r[0] for r in one.select(F.explode("nodes.n_parts")).collect()) > 1
+
+
+def test_pairs_are_counted_before_they_are_shuffled(units):
+    one, two = (matching.pair_counts(units, w, 3) for w in (lambda c: c, unit_rows.same_nodes()))
+    assert rows(one) == rows(two)
