@@ -78,3 +78,15 @@ def test_phrases_merge_the_same_both_ways(spark, units):
 def test_pairs_are_counted_before_they_are_shuffled(units):
     one, two = (matching.pair_counts(units, w, 3) for w in (lambda c: c, unit_rows.same_nodes()))
     assert rows(one) == rows(two)
+
+
+def test_clauses_are_the_same_both_ways(units, known):
+    one, two = (cs.frames_of(m) for m in both_ways(units, known))
+    for config in (cs.ConstraintConfig(events=False, behaviours=False, emoji=False, negation=True), cs.PRIOR_RUN):
+        assert rows(cs.build_constraints(one, config)) == rows(cs.build_constraints(two, config))
+    assert rows(cs.clause_points(one, True)) == rows(cs.clause_points(two, True)) and cs.clause_points(one, True).count() > 0
+
+
+def test_counts_of_flags_are_the_same_both_ways(units, known):
+    one, two = (matching.flag_counts(m, ["negated", "mention"]) for m in both_ways(units, known))
+    assert rows(one) == rows(two) and one.where("mention > 0").count() > 0
