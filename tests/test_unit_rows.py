@@ -90,3 +90,14 @@ def test_clauses_are_the_same_both_ways(units, known):
 def test_counts_of_flags_are_the_same_both_ways(units, known):
     one, two = (matching.flag_counts(m, ["negated", "mention"]) for m in both_ways(units, known))
     assert rows(one) == rows(two) and one.where("mention > 0").count() > 0
+
+
+def test_coefficients_need_no_vector_of_all_identities(units, known):
+    from roleweave.operators import coefficients as co
+
+    c = cs.build_constraints(cs.frames_of(both_ways(units, known)[0]), cs.ConstraintConfig(emoji=False, isa=True, parent_child=True))
+    zero = F.struct(*[F.lit(0.0).alias(x) for x in "epa"])
+    want = co.quadratic_coefs(c.withColumn("vec", F.array_repeat(zero, 3)))
+    own = co.own_zeros(c)
+    assert rows(co.quadratic_coefs(own, ids="own_ids")) == rows(want) and want.count() > 0
+    assert own.where("size(vec) <> size(own_ids) OR size(own_ids) > size(operands)").count() == 0
